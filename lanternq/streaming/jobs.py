@@ -32,7 +32,8 @@ def latencies(events: DataFrame, time: str, value: str, window: str = "5 minutes
 
 def conversations(turns: DataFrame, ttl: str | None = "1 hour") -> DataFrame:
     """T-3, T-4 as a stream: ``session_id, turn, question`` to ``session_id, turn, question, rewritten, rule``. The state
-    of a session is its last six turns; a session that is silent for ``ttl`` is forgotten."""
+    of a session is its last six turns; a session that is silent for ``ttl`` is forgotten. With a ``ttl`` the stream never
+    comes to an end of its own, as silence is noticed by the clock: use ``ttl=None`` with a one-off trigger."""
     millis = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
 

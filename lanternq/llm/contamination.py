@@ -102,7 +102,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     index = cut(sketches(items, "item_id").distinct().withColumnRenamed("id", "item_id"))
     wanted = None
     if (n := index.count()) == 0:
-        return docs.select("doc_id").crossJoin(items.select("item_id").limit(0)).where("1 = 0")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
     if n <= MAX_SHIPPED:
         wanted = np.unique(index.select("sketch").distinct().toPandas()["sketch"].to_numpy().astype(np.int64).view(np.uint64))
     found = sketches(docs, "doc_id", wanted=wanted)

@@ -21,7 +21,7 @@ MIN_FIELDS = 3
 
 def canonical(value: Column) -> Column:
     """The words (runs of letters and digits) of a value, case ignored (ß as ss), joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(value)), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ MIN_DOCS, MIN_SHARE = 5, 0.05
 
 def line_key(line: Column) -> Column:
     """What two lines must share to be the same: their letters and digits, case ignored (ß as ss)."""
-    return F.regexp_replace(F.lower(F.upper(line)), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.replace(F.lower(line), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", "")
 
 
 def document_lines(docs: DataFrame) -> DataFrame:

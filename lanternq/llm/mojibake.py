@@ -148,7 +148,7 @@ def restored(docs: DataFrame) -> DataFrame:
     that cannot be had back stay. The forms of a document are gathered per document, bounded by its own length."""
     tokens = cut(document_tokens(docs))
     bad, _ = broadcast_if_small(cut(garbled_tokens(tokens)), 200)
-    fixes = tokens.join(bad, "token").groupBy("doc_id").agg(F.max(~F.col("bare")).alias("real"), F.collect_set(F.when(F.col("original").isNotNull(), F.struct("form", "original"))).alias("fixes")).where("real")
+    fixes = tokens.join(bad, "token").groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), F.collect_set(F.when(F.col("original").isNotNull(), F.struct("form", "original"))).alias("_fixes")).where("_real")
 
     @F.pandas_udf(T.StringType())
     def fix(text: pd.Series, fixes: pd.Series) -> pd.Series:
@@ -159,4 +159,4 @@ def restored(docs: DataFrame) -> DataFrame:
             out.append(regex.sub(pattern, lambda m: table[m.group(0)], t) if table else t)
         return pd.Series(out, dtype=object)
 
-    return docs.join(fixes, "doc_id").withColumn("restored", fix("text", "fixes")).drop("fixes", "real")
+    return docs.join(fixes, "doc_id").withColumn("restored", fix("text", "_fixes")).drop("_fixes", "_real")

@@ -286,7 +286,7 @@ def redacted(texts: DataFrame) -> DataFrame:
     return texts.join(pieces, ["tab_name", "row_key", "field"]).select("tab_name", "row_key", "field", mask("text", "pieces").alias("text"))
 
 
-NAME_END = regex.compile(rf"{NAME}(?:(?:,|\.)? (?:(?:van|von|der|den|de|di|da|del|la|le|du) )*{NAME})*|\p{{L}}[\p{{L}}'’\-]*(?:(?:,|\.)? \p{{L}}[\p{{L}}'’\-]*)", regex.V0)
+NAME_END = regex.compile(rf"(?i:\p{{L}}[\p{{L}}'’\-]*)(?:(?:,? |(?<=\b\p{{Lu}})\. )(?:(?:van|von|der|den|de|di|da|del|la|le|du) )*(?:{NAME}|\p{{Lu}}(?=\.)))*")
 EXTENSION = regex.compile(r" ?(?:ext\.?|x|#) ?\d+")
 REST = regex.compile(r",? (?:flat|apt\.?|unit|кв\.|д\.|#)[ ]?\d+\w?|, \d+º? ?\w?\b", regex.I)
 
@@ -294,6 +294,8 @@ REST = regex.compile(r",? (?:flat|apt\.?|unit|кв\.|д\.|#)[ ]?\d+\w?|, \d+º?
 def piece_end(text: str, start: int, kind: str) -> int:
     """Where the piece of personal information that starts at ``start`` ends."""
     pattern = {"email": EMAIL, "address": ADDRESS, "name": NAME_END}.get(kind, NUMBER)
+    if kind == "name" and text[start : start + 1].islower():
+        pattern = regex.compile(r"\p{Ll}[\p{L}'’\-]*,? (?:(?:van|von|der|den|de|di|da|del|la|le|du) )*\p{Ll}[\p{L}'’\-]*")
     m = pattern.match(text, start) or NUMBER.match(text, start) or TOKEN.match(text, start)
     end = m.end() if m else start + 1
     tail = {"phone": EXTENSION, "address": REST}.get(kind)

@@ -234,6 +234,9 @@ class ByteGru:
 def train(texts: list[str], codes: list[str], steps: int = 500, batch: int = 256, seed: int = 7) -> ByteGru:
     """Fits the network with Adam on chunks of the labelled texts, drawn evenly over the languages."""
     model, rng = ByteGru(seed=seed), np.random.default_rng(seed)
+    if not texts:
+        model.compile()
+        return model
     x, owner, doc_of, *_ = encode(*buffers(pa.array(texts, pa.large_string())))
     label = np.array([CODES.index(c) for c in codes])
     owner = owner.reshape(-1, STEPS)
@@ -250,6 +253,8 @@ def train(texts: list[str], codes: list[str], steps: int = 500, batch: int = 256
             else:
                 trusted = full
             pools = [pool for k in range(len(CODES)) if len(pool := trusted[y[trusted] == k])]
+            if not pools:
+                break
         pick = np.concatenate([rng.choice(pool, batch // len(pools)) for pool in pools])
         _, grads = model.gradients(x[pick], y[pick], owner[pick] >= 0)
         rate = 0.02 * (1 - step / (steps + 1)) ** 0.7
@@ -271,9 +276,13 @@ def label_code(label: Column) -> Column:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> ByteGru:
-    """Trains on at most ``sample`` labelled documents, picked by a hash of their text."""
+    """Trains on at most ``sample`` labelled documents, picked by a hash of their text. The labelled rows are counted
+    first, so that every task sends no more than its share of the sample to the driver, however many tasks there are.
+    Without a labelled document the network stays untrained."""
     rows = docs.where(F.col("text").isNotNull()).select("text", label_code(F.col("lang")).alias("code")).where("code is not null")
-    rows = rows.orderBy(F.xxhash64("text"), "code").limit(sample).toPandas()
+    part = min(1.0, 1.3 * sample / max(1, docs.where(label_code(F.col("lang")).isNotNull()).count()))
+    rows = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= F.lit(int(part * (1 << 30))))
+    rows = rows.orderBy("h", "code").limit(sample).toPandas()
     return train(list(rows["text"]), list(rows["code"]))
 
 
@@ -287,7 +296,7 @@ def _labeller(model: ByteGru, merge: bool):
                 batch = whole.slice(at, 1000)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 x, owner, doc_of, start, end, letters = encode(*buffers(batch.column(1)))
-                if not len(x):
+                if not len(x) or not (letters > 0).any():
                     continue
                 scores = model.log_probs(x).reshape(-1, len(CODES))
                 real = owner >= 0

@@ -51,6 +51,8 @@ ADDRESS = regex.compile(
 WORD = regex.compile(r"\d+|\p{L}[\p{L}\p{M}'’\-]*\.?|[^\s\w]|\n")
 NAME = r"\p{Lu}[\p{L}\p{M}'’\-]*"
 NAMES = regex.compile(rf"(?<![\w@.+\-]){NAME}(?:(?:,? (?:(?:van|von|der|den|de|di|da|del|la|le|du|dos) )*|(?<=\b\p{{Lu}})\. |(?<=\b(?:Mr|Ms|Dr|Mrs|Sr|Sra|Mme))\. ){NAME}){{0,4}}")
+DIGIT_NEXT = regex.compile(r"\s?\d")
+CITY = regex.compile(r"(?:, (?:\d{4,5} )?\p{Lu}\p{L}+)?")
 INTRO = regex.compile(rf"(?i:\b{NAME_CUES})\s+")
 TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}'’\-]*")
 KEYS = "tab_name string, row_key string, field string"
@@ -87,6 +89,12 @@ def _cue(text: str, start: int, end: int) -> str:
     return ""
 
 
+def emails(text: str) -> list[regex.Match]:
+    """E-mail addresses; texts without any form of the sign are passed over at once."""
+    low = text.lower()
+    return list(EMAIL.finditer(text)) if "@" in low or "(at)" in low or "[at]" in low else []
+
+
 def _street(m: regex.Match) -> str:
     return next(v for k in ("t1", "t2", "t3", "t4", "t5", "t6") if (v := m[k])).lower().strip(".")
 
@@ -94,7 +102,7 @@ def _street(m: regex.Match) -> str:
 def typed_mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Numbers and street forms: start, end, group, instance (the shape of a number, or the word of the street)."""
     taken: list[tuple[int, int]] = []
-    for m in EMAIL.finditer(text):
+    for m in emails(text):
         taken.append(m.span())
         yield m.start(), m.end(), "email", "email"
     free = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken)
@@ -115,7 +123,7 @@ STREET_WORDS = frozenset(STREETS.split())
 def name_mentions(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
     """Runs of capitalised words: start, end, words, and whether a cue introduces it."""
     intro = {m.end() for m in INTRO.finditer(text)}
-    streets = [(m.start(), m.end() + len(regex.match(r"(?:, (?:\d{4,5} )?\p{Lu}\p{L}+)?", text[m.end() :]).group(0))) for m in ADDRESS.finditer(text) if _street(m) in STREET_WORDS]
+    streets = [(m.start(), CITY.match(text, m.end()).end()) for m in ADDRESS.finditer(text) if _street(m) in STREET_WORDS]
     for m in NAMES.finditer(text):
         if any(a < m.end() and m.start() < b for a, b in streets):
             continue
@@ -124,7 +132,7 @@ def name_mentions(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
         while words and (words[0].lower() in TITLES or words[0].lower() in OPENERS) and len(words) > 1:
             nxt = text.index(words[1], start + len(words[0]))
             words, start = words[1:], nxt
-        if regex.match(r"\s?\d", text[m.end() : m.end() + 2]) or len(words) > 6:
+        if DIGIT_NEXT.match(text, m.end()) or len(words) > 6:
             continue
         yield start, m.end(), words, start in intro or m.start() in intro
 
@@ -212,7 +220,7 @@ def names_in(text: str, known: set[str], strong: set[str]) -> list[int]:
     """Where names start: runs of at least two words, one of them possibly an initial, that are known name words, in
     any case, joined by particles, or what a cue introduces. One word at least must be strong, that is, not common as
     an ordinary word; ordinary words only count when capitalised."""
-    mails = [m.span() for m in EMAIL.finditer(text)]
+    mails = [m.span() for m in emails(text)]
     tokens = [(m.start(), m.end(), m.group(0)) for m in TOKEN.finditer(text)]
     starts, i = [], 0
     usable = lambda w: w.lower() in strong or (w.lower() in known and w[0].isupper())

@@ -31,6 +31,8 @@ SAMPLE = 3000
 PATCH, STEPS, HIDDEN, CLASSES = 4, 32, 20, 96
 #: A segment counts as a sentence of a language from so many letters on and with so much confidence.
 MIN_LETTERS, MIN_CONFIDENCE, MIN_SENTENCES = 16, 0.9, 2
+#: A segment leaves its document's main language only when the other one is more likely by this much (natural log).
+SWITCH = 10.0
 QUOTED = re.compile(rb"\"[^\"\n]{1,120}\"|\xe2\x80[\x9c\x9e](?:(?!\xe2\x80[\x9c\x9d]).){1,120}?\xe2\x80[\x9c\x9d]|\xc2\xab(?:(?!\xc2\xbb)[^\n]){1,120}?\xc2\xbb")
 
 
@@ -302,8 +304,11 @@ def _labeller(model: ByteGru, merge: bool):
                 real = owner >= 0
                 pooled = np.stack([np.bincount(owner[real], weights=scores[real, k], minlength=len(doc_of)) for k in range(len(CODES))], 1)
                 best = pooled.argmax(1)
+                main = np.stack([np.bincount(doc_of, weights=letters * (best == k), minlength=len(ids)) for k in range(len(CODES))], 1).argmax(1)[doc_of]
+                stay = pooled.max(1) - pooled[np.arange(len(best)), main] < SWITCH
+                best = np.where(stay, main, best)
                 odds = np.exp(np.maximum(pooled - pooled.max(1, keepdims=True), -50))
-                sure = 1 / odds.sum(1)
+                sure = odds[np.arange(len(best)), best] / odds.sum(1)
                 if not merge:
                     has = letters > 0
                     number = np.arange(len(doc_of)) - np.searchsorted(doc_of, doc_of, "left")

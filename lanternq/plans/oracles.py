@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternq.functions.constants import ANAPHORA, BOILERPLATE, ENTITY, FOLLOW_UPS, GUARD, INJECTION_MARKER, INJECTIONS, INTERROGATIVES, PRONOUNS, STOP_ENTITIES, STOPWORDS, TOKEN
+from lanternq.functions.constants import ANAPHORA, BOILERPLATE, ENTITY, FOLLOW_UPS, GUARD, INJECTION_MARKER, INJECTIONS, INTERROGATIVES, NUMBER_UNIT, PRONOUNS, STOP_ENTITIES, STOPWORDS, TOKEN, UNIT_ALIASES
 from lanternq.functions.text import COMPAT_MANY, COMPAT_ONE, SPACE
 
 
@@ -150,6 +150,9 @@ def oracle_sql() -> dict[str, str]:
     levels = [f"last_value(CASE WHEN level = {k} THEN heading WHEN level > 0 AND level < {k} THEN '' END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7)]
     follow = "|".join(FOLLOW_UPS)
     asks_words = [w for w in INTERROGATIVES if w not in ("will", "should", "may")]
+    number = lit("(?i)" + NUMBER_UNIT.replace("?P<num>", "").replace("?P<unit>", ""))
+    plain = "regexp_replace(replace(text, chr(160), ' '), '[\\x{AA}\\x{B5}\\x{BA}\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}\\x{370}-\\x{52F}]', '_', 'g')"
+    units = "CASE u " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in UNIT_ALIASES.items()) + " ELSE u END"
     dense = f"dense AS (SELECT l.* FROM {LOGGED} l SEMI JOIN asked USING (query_id))"
     sparse = "sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 20)"
     return {
@@ -238,5 +241,11 @@ WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND
         "upsert_stats": f"""WITH {SPLIT}, o AS (SELECT doc_id, count(*) AS old FROM old GROUP BY doc_id), f AS (SELECT doc_id, count(*) AS fresh FROM new GROUP BY doc_id)
 SELECT count(fresh) AS documents, count(*) FILTER (old IS NULL) AS documents_new, coalesce(sum(fresh) FILTER (old IS NULL), 0)::BIGINT AS chunks_added, coalesce(sum(old) FILTER (fresh IS NOT NULL), 0)::BIGINT AS chunks_replaced, sum(coalesce(fresh, old))::BIGINT AS chunks_total FROM o FULL JOIN f USING (doc_id)""",
         "store_stats": "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, round(avg(length(coalesce(text, ''))), 1) AS mean_chars, max(length(coalesce(text, ''))) AS max_chars FROM documents",
+        "numeric_claims": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all({plain}, {number}, 0)) AS m FROM documents),
+p AS (SELECT doc_id, regexp_extract(m, '^[0-9]+(?:[.][0-9]+)?')::DOUBLE AS value, lower(regexp_extract(m, '[^0-9.\\s]+$')) AS u FROM m) SELECT doc_id, {units} AS unit, value, count(*) AS n FROM p GROUP BY ALL""",
+        "late_deliveries": f"SELECT answer_id, epoch_us(arrived_at) AS arrived_us, n_deliveries FROM {ANSWERS} JOIN (SELECT answer_id, count(*) AS n_deliveries FROM answers GROUP BY answer_id) USING (answer_id)",
+        "retrieved_sources": f"""WITH g AS (SELECT trim(question) AS question, relevant_sources FROM goldset QUALIFY row_number() OVER (PARTITION BY trim(question) ORDER BY qid) = 1)
+SELECT c.answer_id, marker, length(d.text) AS n_chars, coalesce(len(list_filter(relevant_sources, lambda x: contains(coalesce(c.source, ''), x))), 0) > 0 AS relevant
+FROM citations c JOIN (SELECT answer_id, trim(question) AS question FROM {ANSWERS} WHERE question IS NOT NULL) USING (answer_id) JOIN g USING (question) LEFT JOIN documents d USING (doc_id)""",
         "event_latencies": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     }

@@ -528,3 +528,42 @@ def store_stats(s, d):
 def event_latencies(s, d):
     out = jobs.latencies(table(s, d, "events"), "ts", "value")
     return out.select("start", "n", F.round("mean", 6).alias("mean"))
+
+
+@query
+def numeric_claims(s, d):
+    """Numbers with units per document."""
+    c = docs(s, d).select("doc_id", F.explode(udfs.numeric_claims()("text")).alias("c"))
+    return c.groupBy("doc_id", F.col("c.unit").alias("unit"), F.col("c.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query
+def claim_sentences(s, d):
+    """The sentences of each answer that claim something."""
+    a = latest_answers(s, d).where("text is not null")
+    return a.select("answer_id", F.posexplode(udfs.claim_sentences()("text")).alias("position", "sentence"))
+
+
+@query
+def candidate_sentences(s, d):
+    """N1, F4 over what the answers cited."""
+    a = latest_answers(s, d).where("question is not null").select(F.col("answer_id").alias("query_id"), "question")
+    c = table(s, d, "citations").where("doc_id is not null").select(F.col("answer_id").alias("query_id"), F.col("marker").alias("rank"), F.col("doc_id").cast("string").alias("chunk_id"))
+    out = answering.candidates(c.join(a, "query_id").join(doc_chunks(s, d).select("chunk_id", "text", "heading", "title"), "chunk_id"))
+    return out.select("query_id", "chunk_id", "rank", "position", "sentence", F.round("s_score", 6).alias("score"))
+
+
+@query
+def late_deliveries(s, d):
+    """Answers once each, as they arrived last, and how often each came."""
+    n = table(s, d, "answers").groupBy("answer_id").agg(F.count("*").alias("n_deliveries"))
+    return latest_answers(s, d).join(n, "answer_id").select("answer_id", F.unix_micros("arrived_at").alias("arrived_us"), "n_deliveries")
+
+
+@query
+def retrieved_sources(s, d):
+    """Cited documents with their texts' sizes and whether the source is one of the goldset's for the question."""
+    a = latest_answers(s, d).where("question is not null").select("answer_id", F.trim("question").alias("question"))
+    g = maintenance.first_of(table(s, d, "goldset").withColumn("question", F.trim("question")), "question", ["qid"]).select("question", "relevant_sources")
+    c = table(s, d, "citations").join(docs(s, d).select("doc_id", F.length("text").cast("long").alias("n_chars")), "doc_id", "left")
+    return c.join(a.join(g, "question"), "answer_id").select("answer_id", "marker", "n_chars", evaluation.relevant("source", "relevant_sources").alias("relevant"))

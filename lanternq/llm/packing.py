@@ -138,10 +138,7 @@ def packed(docs: DataFrame, capacities: DataFrame, path: str = VOCABULARY, stret
     sizes = cut(measured(docs.dropDuplicates(["doc_id"]), path))
     n = sizes.count()
     parts = max(1, -(-n // stretch))
-    spark = docs.sparkSession
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     ranged = sizes.repartitionByRange(parts, "key", F.xxhash64("doc_id")) if parts > 1 else sizes.coalesce(1)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     ranged = cut(ranged.withColumn("stretch", F.spark_partition_id()))
     schema = "container string, stretch int, bin long, doc_id long, piece int, first_token long, n_tokens long"
     return ranged.groupBy("stretch").applyInPandas(_packer(kinds), schema)

@@ -39,6 +39,8 @@ PARTICLES = frozenset("van von der den de di da del della la le du dos das do of
 OPENERS = frozenset("hi hello dear hallo liebe lieber bonjour salut hola ciao buongiorno olá caro cara привет здравствуйте for from thanks regards best chamo-me the a an my our your is it in on at to and or but if when why how what where who der die das den ein eine wie was wo wer warum wenn ist le la les un une il elle que qui où el los las una por qué cómo o os as um uma il lo gli i".split())
 
 EMAIL = regex.compile(r"[\w.+\-]+ ?(?:@|\(at\)|\[at\]) ?[\w\-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[\w\-]+)+", regex.I)
+#: An address as the JVM takes it out, so that the words in it count neither as names nor as ordinary words.
+MAIL = r"(?i)[\w.+\-]+ ?(?:@|\(at\)|\[at\]) ?[\w.\-]+(?: ?(?:\(dot\)|\[dot\]) ?[\w\-]+)*"
 NUMBER = regex.compile(r"(?<![\w@+#.\-/(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?: ?[A-Z])?(?!\w)|(?<=[(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?!\w)|(?<![\w\-])[A-Z]{1,2} ?\d+(?: \d+)* ?[A-Z]?(?!\w)")
 FLAT = r"(?:(?:unit|flat|apt\.?|apartment|suite) \d+\w?, )?"
 ADDRESS = regex.compile(
@@ -271,7 +273,7 @@ def personal_information(texts: DataFrame) -> DataFrame:
     typed = typed.select("tab_name", "row_key", "field", F.col("class").alias("kind"), "start")
     mails = found.where("kind = 'email'").select("tab_name", "row_key", "field", "kind", "start")
     words = cut(name_words(found))
-    tokens = texts.select("tab_name", "row_key", "field", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}'’\-]*"), F.lit(0)))).alias("token")).withColumn("word", F.lower("token"))
+    tokens = texts.select("tab_name", "row_key", "field", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", MAIL, " "), F.lit(r"\p{L}[\p{L}\p{M}'’\-]*"), F.lit(0)))).alias("token")).withColumn("word", F.lower("token"))
     used = cut(salted_join(tokens, words, ["word"], "row_key"))
     common = cut(used.groupBy("word").agg(F.avg((F.col("token") == F.col("word")).cast("int")).alias("plain")))
     used = salted_join(used, common, ["word"], "row_key").withColumn("word", F.when(F.col("plain") > 0.3, F.concat(F.lit("~"), "word")).otherwise(F.col("word")))

@@ -1,18 +1,27 @@
 """Broken question-answer pairs (problem 7): ordered rules, every triggered defect is emitted.
 
 empty, copies_question, refusal and other_language are read off the pair itself. truncated also uses statistics of the
-whole table: which words ever end a sentence, and how short a sentence that starts the same way has ever been."""
+whole table, all of them shares: how often a word that occurs ends a sentence, how short sentences with the same start
+are, and how many of the answers that begin like a short one end there."""
 
 from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternq.plans.scale import cut, salted_join
 
+#: A word ends no sentence if it is the last in a smaller share of its occurrences; a sentence is too short if a smaller
+#: share of those with its start is as short; a short answer is complete if at least this share of those that begin so end there.
+FINAL_SHARE, SHORT_SHARE, WHOLE_SHARE = 0.005, 0.001, 0.5
+#: Short answers have at most so many words.
+SHORT_WORDS = 6
+#: An ellipsis at the very end: the text breaks off there.
+ELLIPSIS = r"(?:…|\.(?:\s?\.)+)$"
+
 #: Contents that say nothing.
 FILLERS = ("null", "none", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "undefined", "empty", "pending", "blank", "x", "xx", "xxx", "k a", "s o", "n d", "нд", "н д", "no data", "not available", "missing", "placeholder", "lorem ipsum")
 
@@ -81,16 +90,34 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\p{N}+", "0")
 
 
+def _split(text: Column) -> Column:
+    return F.filter(F.split(_masked(text), WORDS), lambda w: w != "")
+
+
 def sentence_stats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the sentences in column ``t`` that end with a terminator: how often each word is the last (``word, n_final``),
-    and of each two first words the number and the least number of words (``start, n_start, least``)."""
+    """Of the sentences in column ``t`` that end with a terminator (an ellipsis is none): how often each word occurs and
+    how often it is the last (``word, n_word, n_final``), and of each two first words the number of sentences and the
+    length in words at which ``SHORT_SHARE`` of them are reached (``start, n_start, least``)."""
     s = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[^.!?…]*[^.!?…\s][.!?…]+(?=\s|$)"), F.lit(0))).alias("s"))
-    words = s.select(F.filter(F.split(_masked(F.col("s")), WORDS), lambda w: w != "").alias("w")).where("size(w) > 0")
-    final = words.groupBy(F.element_at("w", -1).alias("word")).agg(F.count("*").alias("n_final"))
-    starts = words.where("size(w) > 2").groupBy(F.array_join(F.slice("w", 1, 2), " ").alias("start")).agg(F.count("*").alias("n_start"), F.min(F.size("w")).alias("least"))
+    words = s.where(~F.col("s").rlike(ELLIPSIS)).select(_split(F.col("s")).alias("w")).where("size(w) > 0")
+    each = words.select(F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
+    final = each.groupBy("word").agg(F.count("*").alias("n_word"), F.count_if(F.col("at") == F.col("n") - 1).alias("n_final"))
+    sizes = words.where("size(w) > 2").groupBy(F.array_join(F.slice("w", 1, 2), " ").alias("start"), F.size("w").alias("n")).agg(F.count("*").alias("k"))
+    by = Window.partitionBy("start")
+    sizes = sizes.select("start", "n", F.sum("k").over(by).alias("n_start"), F.sum("k").over(by.orderBy("n")).alias("upto"))
+    starts = sizes.where(F.col("upto") >= F.col("n_start") * F.lit(SHORT_SHARE)).groupBy("start").agg(F.max("n_start").alias("n_start"), F.min("n").alias("least"))
     return final, starts
 
 
+def short_answers(flags: DataFrame) -> DataFrame:
+    """``whole``: the answers of few words, given by three pairs or more, at which most answers that begin so end."""
+    words = flags.select("pair_id", _split(F.col("_c")).alias("w"))
+    wholes = cut(words.where(F.size("w").between(1, SHORT_WORDS)).groupBy(F.array_join("w", " ").alias("whole")).agg(F.countDistinct("pair_id").alias("n_whole")).where("n_whole >= 3"))
+    begun = words.where("size(w) > 0").select("pair_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(SHORT_WORDS))), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("whole"))
+    begun = salted_join(begun, wholes, ["whole"], "pair_id").groupBy("whole").agg(F.countDistinct("pair_id").alias("n_begun"), F.max("n_whole").alias("n_whole"))
+    return begun.where(F.col("n_whole") >= F.col("n_begun") * F.lit(WHOLE_SHARE)).select("whole", "n_whole")
+
+
 def _flags(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumn("_c", content(F.col("answer"))).withColumn("_a", _words(F.col("_c"))).withColumn("_q", _words(F.col("question")))
     empty = (F.col("_a") == "") | F.col("_a").isin(*FILLERS)
@@ -103,8 +130,8 @@ def _flags(pairs: DataFrame) -> DataFrame:
         .withColumn("copies_question", ~empty & copies)
         .withColumn("refusal", ~empty & refusal)
         .withColumn("other_language", ~empty & _other_language("question", "_c"))
-        .withColumn("_last", F.filter(F.split(_masked(last), WORDS), lambda w: w != ""))
-        .withColumn("_open", ~F.col("_c").rlike(r"[.!?…]['\"”»’)\]*_`]*$"))
+        .withColumn("_last", _split(last))
+        .withColumn("_open", ~F.col("_c").rlike(r"[.!?…]['\"”»’)\]*_`]*$") | F.col("_c").rlike(ELLIPSIS))
     )
 
 
@@ -119,21 +146,21 @@ def defects(pairs: DataFrame) -> DataFrame:
     """``pair_id, defect``, one row per defect of every pair (repeated exports of one pair give one case).
 
     A null question copies and contradicts nothing; a null answer is empty. An answer that ends without a terminator
-    is truncated if it ends in an opening sign, a comma or a list mark, leaves a bracket open, or its last sentence
-    ends with a word no sentence ends with, or is shorter than any of the (ten or more) sentences that start alike;
-    one-word answers, and short answers given three times or more, are complete."""
+    or with an ellipsis is truncated if it ends in an ellipsis, an opening sign, a comma or a list mark, leaves a bracket
+    open, or its last sentence ends with a word that hardly ever ends one, or is shorter than nearly all of the (ten or
+    more) sentences that start alike; one-word answers, and short answers that are commonly the whole one, are complete."""
     rows = pairs.select("pair_id", "question", "answer").distinct()
     flags = cut(_flags(rows))
     texts = flags.where("not empty").select(F.col("_c").alias("t"))
     final, starts = (cut(x) for x in sentence_stats(texts))
-    short = cut(flags.where("size(_last) <= 6").groupBy(_masked(F.col("_c")).alias("whole")).agg(F.countDistinct("pair_id").alias("n_whole")).where("n_whole >= 3"))
+    short = cut(short_answers(flags.where("not empty")))
     open_ = flags.where("not empty and _open").select("pair_id", "_c", "_a", "_last", "copies_question")
-    open_ = open_.withColumn("word", F.when(F.size("_last") > 0, F.element_at("_last", -1)).otherwise("")).withColumn("start", F.array_join(F.slice("_last", 1, 2), " ")).withColumn("whole", _masked(F.col("_c")))
+    open_ = open_.withColumn("word", F.when(F.size("_last") > 0, F.element_at("_last", -1)).otherwise("")).withColumn("start", F.array_join(F.slice("_last", 1, 2), " ")).withColumn("whole", F.array_join(_split(F.col("_c")), " "))
     open_ = salted_join(open_, final, ["word"], "pair_id", "left")
     open_ = salted_join(open_, starts, ["start"], "pair_id", "left")
     open_ = salted_join(open_, short, ["whole"], "pair_id", "left")
-    mark = F.col("_c").rlike(r"(?:[,;:(\[{«“„—–=+]|(?:^|\s)(?:\d{1,2}[.)]|[-*•]))$") | _unclosed(F.col("_c"))
-    abrupt = F.col("n_final").isNull() | ((F.col("n_start") >= 10) & (F.size("_last") < F.col("least")))
+    mark = F.col("_c").rlike(ELLIPSIS) | F.col("_c").rlike(r"(?:[,;:(\[{«“„—–=+]|(?:^|\s)(?:\d{1,2}[.)]|[-*•]))$") | _unclosed(F.col("_c"))
+    abrupt = F.col("n_word").isNull() | (F.col("n_final") < F.col("n_word") * F.lit(FINAL_SHARE)) | ((F.col("n_start") >= 10) & (F.size("_last") < F.col("least")))
     complete = (F.size(F.split("_a", " ")) <= 1) | F.col("n_whole").isNotNull()
     cut_off = open_.where(~F.col("copies_question") & (mark | (abrupt & ~complete))).select("pair_id", F.lit("truncated").alias("defect"))
     kinds = ["empty", "refusal", "copies_question", "other_language"]

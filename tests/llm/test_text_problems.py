@@ -133,6 +133,18 @@ def test_pair_defects(spark):
     assert got == {(100, "empty"), (101, "empty"), (102, "copies_question"), (103, "copies_question"), (104, "other_language"), (105, "refusal"), (106, "truncated")}
 
 
+def test_stray_endings_and_ellipses_hide_no_truncated_pair(spark):
+    """Cut-off answers are found in a large table, where some word or length occurs by chance as an ending."""
+    long = "Lift the lid, then press the button until the lamp turns white. Wait 3 minutes before you start again."
+    rows = [(n, "How do I start it?", long) for n in range(1500)]
+    rows += [(2000, "What then?", "Ask the man for the."), (2001, "What then?", "Wait 3 minutes.")]
+    rows += [(2100, "What then?", "Two clips hold the…"), (2101, "What then?", "Lift the lid and brush off the ..."), (2102, "What then?", "Lift the lid, then press the button until the")]
+    rows += [(2103, "What then?", long + " Wait 3 minutes")] + [(2200 + n, "What then?", "Lift the") for n in range(3)]
+    rows += [(2300 + n, "When?", "After the lamp") for n in range(3)] + [(2400, "What then?", "Hm, the Mini... lift the lid until the lamp turns white.")]
+    found = pairs.defects(spark.createDataFrame(rows, "pair_id long, question string, answer string")).where("defect = 'truncated'")
+    assert {r["pair_id"] for r in found.collect()} == {2100, 2101, 2102, 2103, 2200, 2201, 2202}
+
+
 def test_pairs_on_an_empty_table(spark):
     assert pairs.defects(spark.createDataFrame([], "pair_id long, question string, answer string")).count() == 0
 

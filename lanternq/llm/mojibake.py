@@ -3,12 +3,13 @@
 An encoding error leaves ASCII as it is and turns every run of other characters into another such run. So the clean
 words of the corpus, and their non-ASCII runs, are garbled under all chains; the documents' tokens and runs are joined
 against that table. Chains through UTF-8 give runs that clean text does not hold, so runs suffice; chains between
-single-byte encodings give ordinary letters, so only whole words count there, and only if the clean word is the
-more frequent one."""
+single-byte encodings give ordinary letters, so only whole words count there, and only in documents whose words, taken
+together, stand in twice as many texts in their clean as in their garbled form. Copies of a text count once."""
 
 from __future__ import annotations
 
 import codecs
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternq.plans.scale import broadcast_if_small, cut
+from lanternq.plans.scale import broadcast_if_small, cut, digest, salted_join
 
 #: Single-byte encodings in which text is commonly misread, and those in which it is commonly stored.
 READ_AS = ("latin_1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "mac_cyrillic", "iso8859_2", "iso8859_15", "cp1254")
@@ -97,35 +98,60 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The keys by which a token is looked up: its core, and its runs."""
     for batch in batches:
         rows = []
-        for token, n in zip(batch["token"], batch["n"], strict=True):
+        for token in batch["token"]:
             core = token.strip(EDGE)
             runs = RUNS.findall(core)
-            rows.append((token, core, True, n))
-            rows += [(token, r, False, n) for r in dict.fromkeys(runs)]
+            rows.append((token, core, True))
+            rows += [(token, r, False) for r in dict.fromkeys(runs)]
             if LOST in core and regex.search(r"\p{L}�|�\p{L}", core):
-                rows.append((token, LOST, False, n))
-        yield pd.DataFrame(rows, columns=["token", "key", "is_word", "tn"])
+                rows.append((token, LOST, False))
+        yield pd.DataFrame(rows, columns=["token", "key", "is_word"])
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:
-    """``doc_id, token, n``: the distinct tokens with a character beyond ASCII, and how often each stands there."""
-    return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    """``doc_id, h, token, n``: the distinct tokens with a character beyond ASCII, and how often each stands there.
+    ``h`` is the same for copies of a text that differ in nothing but case, punctuation and white space."""
+    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    some = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text", bare.alias("bare")).select("doc_id", "text", F.struct(*digest(F.col("bare"))).alias("h"))
+    each = some.select("doc_id", "h", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
+    return each.groupBy("doc_id", "h", "token").agg(F.count("*").alias("n"))
 
 
 def garbled_tokens(tokens: DataFrame) -> DataFrame:
-    """``token, original, chain, bare``: corpus tokens that are, or hold, a garbled form of a clean corpus word.
-    ``bare`` marks tokens that are nothing but one garbled letter, as when a text talks about such signs."""
-    vocab = cut(tokens.groupBy("token").agg(F.sum("n").alias("n")))
-    keys = cut(vocab.mapInPandas(_keys, "token string, key string, is_word boolean, tn long"))
-    words = cut(keys.where("is_word").groupBy("key").agg(F.sum("tn").alias("n")))
+    """``token, sure, maybe``: corpus tokens that are, or hold, a garbled form of a clean corpus word. ``sure`` is the
+    best of the originals through UTF-8 or lost (or null), ``maybe`` are those through single-byte encodings, one for
+    each encoding the text was stored in, with ``odds``: the logarithm of the number of distinct texts that hold the
+    original over those that hold the form."""
+    vocab = tokens.select("token").distinct()
+    keys = cut(vocab.mapInPandas(_keys, "token string, key string, is_word boolean"))
+    words = cut(tokens.select(F.btrim("token", F.lit(EDGE)).alias("key"), "h").distinct().groupBy("key").agg(F.count("*").alias("n")))
     clean = words.withColumnRenamed("key", "token").mapInPandas(_garble, "form string, original string, chain string, multi boolean, word boolean, n long")
     totals = words.select(F.col("key"), F.col("n").alias("kn"))
-    looked_up, _ = broadcast_if_small(cut(keys.join(totals, "key", "left").withColumn("kn", F.coalesce("kn", "tn"))), 140)
-    hits = clean.join(looked_up, clean["form"] == looked_up["key"]).where("multi or (is_word and word and n >= 2 * kn)").where("is_word = word or not word")
-    lost = keys.where(F.col("key") == LOST).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit("").alias("form"), F.lit(0).cast("long").alias("n"))
-    hits = hits.select("token", "original", "chain", "form", "n").unionByName(lost)
-    best = hits.groupBy("token").agg(F.max_by(F.struct("original", "chain", "form"), F.struct(F.length("form"), "n", F.reverse("original"))).alias("b"))
-    return best.select("token", "b.original", "b.chain", "b.form", _bare("token", "b.form", "b.original").alias("bare"))
+    looked_up, _ = broadcast_if_small(cut(keys.join(totals, "key", "left")), 140)
+    hits = clean.join(looked_up, clean["form"] == looked_up["key"]).where("multi or (is_word and word)").where("is_word = word or not word")
+    hits = hits.select("token", "original", "chain", "form", "n", "multi", F.when(~F.col("multi"), F.log(F.col("n") / F.col("kn"))).alias("odds"))
+    lost = keys.where(F.col("key") == LOST).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit("").alias("form"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("multi"), F.lit(None).cast("double").alias("odds"))
+    stored = F.when(~F.col("multi"), F.substring_index("chain", ">", 1)).alias("stored")
+    rank = F.struct(F.length("form").alias("length"), F.col("n"), F.reverse("original").alias("reversed"))
+    best = hits.unionByName(lost).groupBy("token", stored).agg(F.max_by(F.struct("original", "chain", "form", rank.alias("rank"), "odds"), rank).alias("b"))
+    one = best.select("token", "stored", F.struct("stored", "b.*", _bare("token", "b.form", "b.original").alias("bare")).alias("b"))
+    return one.groupBy("token").agg(F.max(F.when(F.col("stored").isNull(), F.col("b"))).alias("sure"), F.collect_set(F.when(F.col("stored").isNotNull(), F.col("b"))).alias("maybe"))
+
+
+def garbled_places(docs: DataFrame) -> DataFrame:
+    """``doc_id, token, n, original, chain, form, bare``: the garbled tokens of each document. Originals through
+    single-byte encodings count where the odds of all words of the document that may come from the same stored
+    encoding together are 2:1 at least. Words that are 2:1 the clean side themselves are left out, as they are the
+    clean part of a text garbled in part; words that stand as often clean as garbled follow the others."""
+    tokens = cut(document_tokens(docs))
+    found = cut(salted_join(tokens.drop("h"), cut(garbled_tokens(tokens)), ["token"], "doc_id", row_bytes=300))
+    maybe = found.select("doc_id", "token", "n", F.explode("maybe").alias("b")).where(F.col("b.odds") > F.lit(-math.log(2) + 1e-6))
+    votes = maybe.select("doc_id", "token", F.col("b.stored").alias("stored"), F.col("b.odds").alias("odds")).distinct().groupBy("doc_id", "stored").agg(F.round(F.sum("odds"), 6).alias("odds"))
+    decided = votes.where(F.col("odds") >= round(math.log(2), 6)).select("doc_id", "stored")
+    maybe = maybe.withColumn("stored", F.col("b.stored")).join(decided, ["doc_id", "stored"], "left_semi").select("doc_id", "token", "n", "b")
+    hits = found.where("sure is not null").select("doc_id", "token", "n", F.col("sure").alias("b")).unionByName(maybe)
+    best = hits.groupBy("doc_id", "token").agg(F.max("n").alias("n"), F.max_by("b", "b.rank").alias("b"))
+    return best.select("doc_id", "token", "n", "b.original", "b.chain", "b.form", "b.bare")
 
 
 def _bare(token: str, form: str, original: str) -> Column:
@@ -137,18 +163,14 @@ def _bare(token: str, form: str, original: str) -> Column:
 def garbled_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_restorable``: documents that hold garbled text. A document whose only garbled tokens are
     bare letters is one that talks about such signs. Null and pure ASCII texts are never garbled."""
-    tokens = cut(document_tokens(docs))
-    bad, _ = broadcast_if_small(cut(garbled_tokens(tokens)), 200)
-    hits = tokens.join(bad, "token").groupBy("doc_id").agg(F.sum(F.when(~F.col("bare"), F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(F.when(F.col("original").isNotNull(), F.col("n")).otherwise(0)).alias("n_restorable"))
+    hits = garbled_places(docs).groupBy("doc_id").agg(F.sum(F.when(~F.col("bare"), F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(F.when(F.col("original").isNotNull(), F.col("n")).otherwise(0)).alias("n_restorable"))
     return hits.where("n_tokens > 0")
 
 
 def restored(docs: DataFrame) -> DataFrame:
     """The garbled documents with ``restored``: every garbled form replaced by its original, longest first. Tokens
     that cannot be had back stay. The forms of a document are gathered per document, bounded by its own length."""
-    tokens = cut(document_tokens(docs))
-    bad, _ = broadcast_if_small(cut(garbled_tokens(tokens)), 200)
-    fixes = tokens.join(bad, "token").groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), F.collect_set(F.when(F.col("original").isNotNull(), F.struct("form", "original"))).alias("_fixes")).where("_real")
+    fixes = garbled_places(docs).groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), F.collect_set(F.when(F.col("original").isNotNull(), F.struct("form", "original"))).alias("_fixes")).where("_real")
 
     @F.pandas_udf(T.StringType())
     def fix(text: pd.Series, fixes: pd.Series) -> pd.Series:

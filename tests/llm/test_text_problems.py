@@ -121,6 +121,17 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert fixed == {20: clean, 22: "Die Tür"}
 
 
+def test_copies_of_a_garbled_text_do_not_turn_the_direction(spark):
+    """Single-byte chains: many copies of one garbled text, clean words that are rarer than their garbled forms."""
+    clean = ["Крышка закрыта плотно, насос работает тихо, фильтр чистый сегодня", "Насос работает тихо, крышка закрыта плотно", "Фильтр чистый, насос работает, крышка закрыта"]
+    bad = clean[0].encode("cp1251").decode("koi8_r")
+    rows = [(n, t, "ru", "s", None, None) for n, t in enumerate(clean)] + [(10 + n, bad, "ru", "s", None, None) for n in range(9)]
+    docs = spark.createDataFrame(rows, DOC)
+    assert {r["doc_id"] for r in mojibake.garbled_documents(docs).collect()} == set(range(10, 19))
+    fixed = {r["doc_id"]: r["restored"] for r in mojibake.restored(docs).collect()}
+    assert set(fixed) == set(range(10, 19)) and set(fixed.values()) == {clean[0]}
+
+
 # --- problem 7
 
 

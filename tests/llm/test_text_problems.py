@@ -101,6 +101,14 @@ def test_recurring_subtrees_are_removed_and_odd_rows_pass(spark):
     assert out[90]["clean_text"] is None and out[91]["clean_text"] == "" and out[92]["markups"] == ["html"] and len(out) == 23
 
 
+def test_inline_elements_and_copies_are_no_template(spark):
+    page = "<p>First<br>second of {0} has a <b>bold</b> word and [[Link]]</p><p></p>"
+    rows = [(n, page.format(n), None, "s", None, "html") for n in range(20)] + [(100 + n, "<div>One page only</div><p>told again</p>", None, "t", None, "html") for n in range(9)]
+    out = {r["doc_id"]: r["clean_text"] for r in markup.cleaned(spark.createDataFrame(rows, DOC)).collect()}
+    assert out[3].split() == "First second of 3 has a bold word and Link".split()
+    assert out[104].split() == "One page only told again".split()
+
+
 # --- problem 6
 
 

@@ -1,33 +1,44 @@
 """Broken question-answer pairs (problem 7): ordered rules, every triggered defect is emitted.
 
-empty, copies_question, refusal and other_language are read off the pair itself. truncated also uses statistics of the
-whole table, all of them shares: how often a word that occurs ends a sentence, how short sentences with the same start
-are, and how many of the answers that begin like a short one end there."""
+empty and copies_question are read off the pair itself. The other rules use statistics of the whole table, all of them
+rates over pairs, so that a verdict does not depend on how much text there is: refusal adds to phrases of
+refusing what recurs in the answers that use them; other_language compares scripts first and then letter n-gram
+profiles learnt from the table; truncated asks how often sentences end where an answer without a terminator breaks off."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lanternq.plans.scale import cut, salted_join
 
-#: A word ends no sentence if it is the last in a smaller share of its occurrences; a sentence is too short if a smaller
-#: share of those with its start is as short; a short answer is complete if at least this share of those that begin so end there.
-FINAL_SHARE, SHORT_SHARE, WHOLE_SHARE = 0.005, 0.001, 0.5
-#: Short answers have at most so many words.
-SHORT_WORDS = 6
-#: An ellipsis at the very end: the text breaks off there.
-ELLIPSIS = r"(?:…|\.(?:\s?\.)+)$"
+#: An answer without a terminator breaks off where fewer than this share of sentences end.
+END_SHARE = 0.05
+#: The share of sentences that end with a word never met in a complete one, and the weight (in sentences) with which a
+#: shorter context vouches for a longer one.
+UNKNOWN_END, WEIGHT = 0.01, 2.0
+#: Contexts of an ending, and the number of words up to which an answer is a short one.
+CONTEXTS, SHORT_WORDS = 7, 6
+#: Language profiles and the words of refusals are tables of fixed size: 2 ** BITS hashed features.
+BITS = 16
+#: How much likelier (natural logarithm) another language must be than that of the question, n-grams of a text being
+#: counted at a third as three lengths overlap; and the odds a learnt refusal must reach.
+LANGUAGE_ODDS, REFUSAL_ODDS = 4.0, 4.0
+#: A text seeds the profile of a language whose common words are ahead by this share of its words.
+SEED_LEAD = 0.1
 
 #: Contents that say nothing.
-FILLERS = ("null", "none", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "undefined", "empty", "pending", "blank", "x", "xx", "xxx", "k a", "s o", "n d", "нд", "н д", "no data", "not available", "missing", "placeholder", "lorem ipsum")
+FILLERS = frozenset(("null", "none", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "undefined", "empty", "pending", "blank", "x", "xx", "xxx", "k a", "s o", "n d", "нд", "н д", "no data", "not available", "missing", "placeholder", "lorem ipsum"))
 
 #: Phrases by which answers decline, by language.
 REFUSALS = {
-    "en": r"(?:i['’]?m|i am|we are|we['’]re) (?:sorry|afraid),? (?:but )?(?:i|we) (?:can['’]?t|cannot|am not able|are not able|won['’]?t)|\b(?:can['’]?t|cannot|can not|could not|unable to|not able to) (?:help|assist|answer|respond|comment|discuss|advise|provide (?:guidance|advice|an answer|help|assistance|information)|offer (?:guidance|advice|help)|share that|give (?:advice|an answer|guidance)|say anything|be of help)|must (?:decline|refuse|reject)|have to (?:decline|refuse)|(?:i|we) (?:decline|refuse)\b|rather not (?:respond|answer|say|comment|discuss)|prefer not to|not something (?:i|we) can (?:discuss|answer|help)|(?:outside|beyond) (?:of )?(?:my|our) (?:remit|scope|competence|area)|answer is withheld|no comment on|(?:do|does|will) not comment|not be right for me|no answer (?:can|will) be given|not built to|going to pass\b|(?:not|n['’]t) (?:allowed|permitted|authori[sz]ed) to (?:answer|discuss|speak|talk|help|comment|advise)|(?:i|we) (?:won['’]?t|will not) (?:answer|discuss|be answering|respond|comment|help)",
+    "en": r"(?:i['’]?m|i am|we are|we['’]re) (?:sorry|afraid),? (?:but )?(?:i|we) (?:can['’]?t|cannot|am not able|are not able|won['’]?t)|\b(?:can['’]?t|cannot|can not|could not|unable to|not able to) (?:help|assist|answer|respond|comment|discuss|advise|provide (?:guidance|advice|an answer|help|assistance|information)|offer (?:guidance|advice|help)|share that|give (?:advice|an answer|guidance)|say anything|be of help)|must (?:decline|refuse|reject)|have to (?:decline|refuse)|(?:i|we) (?:decline|refuse)\b|rather not (?:respond|answer|say|comment|discuss)|prefer not to|not something (?:i|we) can (?:discuss|answer|help)|(?:outside|beyond) (?:of )?(?:my|our) (?:remit|scope|competence|area)|answer is withheld|no comment on|(?:do|does|will) not comment|not be right for me|no answer (?:can|will) be given|not built to|going to pass\b|(?:not|n['’]t) (?:allowed|permitted|authori[sz]ed) to (?:answer|discuss|speak|talk|help|comment|advise)|(?:do|does|did)(?:n['’]t| not) (?:let|allow|permit) (?:me|us)\b|(?:prevents?|keeps?|stops?|forbids?) (?:me|us) (?:from|to)\b|outside what (?:i|we)\b|(?:i|we) (?:won['’]?t|will not) (?:answer|discuss|be answering|respond|comment|help)",
     "de": r"nicht (?:weiter)?(?:helfen|beantworten|äußern|aeussern)|ablehnen|keine auskunft|keine antwort geben|(?:kann|darf|möchte|werde|will) (?:ich|wir)(?: \p{L}+){0,6} (?:nichts?|keine)(?: \p{L}+){0,3} (?:sagen|antworten|geben|beantworten|sprechen|machen|raten)|nicht in der lage|außerhalb mein|nicht (?:befugt|berechtigt|erlaubt|gestattet)|verweiger|nicht zuständig|kein kommentar",
     "fr": r"ne (?:peux|puis|pouvons|saurais|souhaite|suis) pas (?:(?:vous|y|en|me) )*(?:répondre|aider|autorisé|parler|prononcer|conseiller|renseigner|en mesure|commenter|habilité)|sort de mon cadre|(?:doit|dois)(?: \p{L}+){0,2} (?:être refusée?|refuser|décliner)|impossible de (?:vous )?(?:aider|répondre|renseigner)|préfère ne pas|m['’]abst|sans commentaire|pas le droit d[e'’]|décline (?:cette|votre)|hors de mon domaine|pas de commentaire",
     "es": r"no (?:puedo|podemos|me es posible|me está permitido|tengo permitido|estoy autorizad[oa]|soy capaz de|estoy en condiciones de)(?: \p{L}+){0,3} ?(?:ayudar\p{L}*|responder\p{L}*|hablar|opinar|contestar\p{L}*|decir\p{L}*|comentar|aconsejar\p{L}*|asesorar\p{L}*|orientar\p{L}*)|(?:debo|tengo que) (?:rechazar|declinar)|prefiero no|fuera de mi ámbito|sin comentarios|no (?:debo|voy a) (?:responder|contestar|opinar|hablar)|me abstengo",
@@ -46,124 +57,277 @@ COMMON = {
     "pt": "o os da do que não uma em se para ao um com é na no e as dos das pelo depois quando por mais antes como está de sem até à porque há nas nos muito",
     "ru": "и в не на что если с по как для это при у из от до после когда же чтобы почему или его можно только за под к о так",
 }
-_WORDS = {k: frozenset(v.split()) for k, v in COMMON.items()}
-_LETTERS = regex.compile(r"[\p{L}]+")
-_QUOTED = regex.compile(r"\"[^\"]{1,80}\"|“[^”]{1,80}”|«[^»]{1,80}»|„[^“”]{1,80}[“”]")
-WORDS = r"[^\p{L}\p{N}]+"
-
-
-def guess_language(text: str | None) -> tuple[str, int, int]:
-    """The language most of a text's common words belong to, by how many more than the next, and how many words there
-    are. Cyrillic text is Russian. Texts in quotes don't count."""
-    if not text:
-        return "", 0, 0
-    words = _LETTERS.findall(_QUOTED.sub(" ", text.lower()))
-    if not words:
-        return "", 0, 0
-    cyrillic = sum("Ѐ" <= w[0] <= "ӿ" for w in words)
-    hits = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
-    hits["ru"] = max(hits["ru"], cyrillic if 2 * cyrillic > len(words) else 0)
-    first, second, *_ = sorted(hits.values(), reverse=True)
-    return max(hits, key=hits.get), first - second, len(words)
-
-
-@F.pandas_udf(T.BooleanType())
-def _other_language(question: pd.Series, answer: pd.Series) -> pd.Series:
-    out = []
-    for q, a in zip(question, answer, strict=True):
-        (ql, qm, _), (al, am, n) = guess_language(q), guess_language(a)
-        out.append(bool(ql and al and ql != al and qm >= 1 and (am >= 2 or am == n > 0 or (am >= 1 and n <= 6))))
-    return pd.Series(out)
+LANGUAGES = tuple(COMMON)
+_COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+_REFUSAL = {k: regex.compile(v, regex.I) for k, v in REFUSALS.items()}
+#: Scripts with a profile of their own; a text in any other script is in the language of that script.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai", "Armenian", "Georgian")
+_SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in SCRIPTS]
 
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_QUOTED = regex.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_TAGS = regex.compile(r"<[^<>]*>|&(?:[a-zA-Z]+\d*|#\d+|#[xX][0-9a-fA-F]+);|[\p{Cf}\p{Cc}]")
+_DIGITS = regex.compile(r"\d+")
+_SENTENCE = regex.compile(r"[^.!?…]*(?:[.!?…](?!\s|['\"”»’)\]*_`]*(?:\s|$))[^.!?…]*)*(?:[.!?…]+|$)")
+_CLOSED = regex.compile(r"[.!?…]['\"”»’)\]*_`]*$")
+_ELLIPSIS = regex.compile(r"(?:…|\.(?:\s?\.)+)$")
+_DANGLING = regex.compile(r"(?:[,;:(\[{«“„—–=+]|(?:^|\s)(?:\d{1,2}\)|[-*•])|(?:^|[.!?…:;]\s+)\d{1,2}\.)$")
 
-def _words(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORDS, " "))
 
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
-def content(answer: Column) -> Column:
-    """An answer without tags, character entities and invisible characters."""
-    bare = F.regexp_replace(F.coalesce(answer, F.lit("")), r"<[^<>]{0,80}>|&(?:[a-zA-Z]+|#\d+);|[\p{Cf}\p{Cc}]", " ")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
+def masked(text: str) -> list[str]:
+    return [_DIGITS.sub("0", w) for w in words_of(text)]
 
-def _masked(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"\p{N}+", "0")
-
-
-def _split(text: Column) -> Column:
-    return F.filter(F.split(_masked(text), WORDS), lambda w: w != "")
 
+def content(answer: str | None) -> str:
+    """An answer without tags, character entities and invisible characters."""
+    return " ".join(_TAGS.sub(" ", answer).split()) if answer else ""
 
-def sentence_stats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the sentences in column ``t`` that end with a terminator (an ellipsis is none): how often each word occurs and
-    how often it is the last (``word, n_word, n_final``), and of each two first words the number of sentences and the
-    length in words at which ``SHORT_SHARE`` of them are reached (``start, n_start, least``)."""
-    s = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[^.!?…]*[^.!?…\s][.!?…]+(?=\s|$)"), F.lit(0))).alias("s"))
-    words = s.where(~F.col("s").rlike(ELLIPSIS)).select(_split(F.col("s")).alias("w")).where("size(w) > 0")
-    each = words.select(F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-    final = each.groupBy("word").agg(F.count("*").alias("n_word"), F.count_if(F.col("at") == F.col("n") - 1).alias("n_final"))
-    sizes = words.where("size(w) > 2").groupBy(F.array_join(F.slice("w", 1, 2), " ").alias("start"), F.size("w").alias("n")).agg(F.count("*").alias("k"))
-    by = Window.partitionBy("start")
-    sizes = sizes.select("start", "n", F.sum("k").over(by).alias("n_start"), F.sum("k").over(by.orderBy("n")).alias("upto"))
-    starts = sizes.where(F.col("upto") >= F.col("n_start") * F.lit(SHORT_SHARE)).groupBy("start").agg(F.max("n_start").alias("n_start"), F.min("n").alias("least"))
-    return final, starts
 
+# --- languages ---------------------------------------------------------------------------------------------------------
 
-def short_answers(flags: DataFrame) -> DataFrame:
-    """``whole``: the answers of few words, given by three pairs or more, at which most answers that begin so end."""
-    words = flags.select("pair_id", _split(F.col("_c")).alias("w"))
-    wholes = cut(words.where(F.size("w").between(1, SHORT_WORDS)).groupBy(F.array_join("w", " ").alias("whole")).agg(F.countDistinct("pair_id").alias("n_whole")).where("n_whole >= 3"))
-    begun = words.where("size(w) > 0").select("pair_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(SHORT_WORDS))), lambda k: F.array_join(F.slice("w", 1, k), " "))).alias("whole"))
-    begun = salted_join(begun, wholes, ["whole"], "pair_id").groupBy("whole").agg(F.countDistinct("pair_id").alias("n_begun"), F.max("n_whole").alias("n_whole"))
-    return begun.where(F.col("n_whole") >= F.col("n_begun") * F.lit(WHOLE_SHARE)).select("whole", "n_whole")
 
+def script_of(text: str | None) -> str:
+    """The script of most letters; texts in quotes don't count."""
+    letters = "".join(_LETTERS.findall(_QUOTED.sub(" ", text))) if text else ""
+    if not letters:
+        return ""
+    if letters.isascii():
+        return "Latin"
+    counts = [(len(p.findall(letters)), s) for s, p in _SCRIPT]
+    return max(counts)[1] if max(counts)[0] else "other"
 
-def _flags(pairs: DataFrame) -> DataFrame:
-    p = pairs.withColumn("_c", content(F.col("answer"))).withColumn("_a", _words(F.col("_c"))).withColumn("_q", _words(F.col("question")))
-    empty = (F.col("_a") == "") | F.col("_a").isin(*FILLERS)
-    rest = F.trim(F.regexp_replace(F.replace(F.concat(F.lit(" "), F.col("_a"), F.lit(" ")), F.concat(F.lit(" "), F.col("_q"), F.lit(" ")), F.lit("  ")), " +", " "))
-    copies = (F.col("_q") != "") & F.contains(F.concat(F.lit(" "), F.col("_a"), F.lit(" ")), F.concat(F.lit(" "), F.col("_q"), F.lit(" "))) & (F.size(F.filter(F.split(rest, " "), lambda w: w != "")) <= 3)
-    refusal = F.lower("_c").rlike("(?U)" + "|".join(f"(?:{v})" for v in REFUSALS.values()))
-    last = F.trim(F.regexp_extract("_c", r"([^.!?…]*)$", 1))
-    return (
-        p.withColumn("empty", empty)
-        .withColumn("copies_question", ~empty & copies)
-        .withColumn("refusal", ~empty & refusal)
-        .withColumn("other_language", ~empty & _other_language("question", "_c"))
-        .withColumn("_last", _split(last))
-        .withColumn("_open", ~F.col("_c").rlike(r"[.!?…]['\"”»’)\]*_`]*$") | F.col("_c").rlike(ELLIPSIS))
-    )
 
+def common_language(text: str | None) -> tuple[str, float]:
+    """The language most of a text's common words belong to, and by what share of its words more than the next."""
+    words = [w.lower() for w in _LETTERS.findall(_QUOTED.sub(" ", text))] if text else []
+    hits = sorted(((sum(w in v for w in words), k) for k, v in _COMMON.items()), reverse=True)
+    return (hits[0][1], (hits[0][0] - hits[1][0]) / len(words)) if hits[0][0] else ("", 0.0)
 
-def _unclosed(text: Column) -> Column:
-    def n(sign: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, sign, ""))
 
-    return (n("(") > n(")")) | (n("[") > n("]")) | (n("{") > n("}")) | (n("«") > n("»")) | (n("“") > n("”")) | (F.size(F.split(text, "```")) % 2 == 0)
+def letter_grams(text: str | None) -> np.ndarray:
+    """Hashed runs of two, three and four letters (word borders are letters too) of a text without its quotes."""
+    words = _LETTERS.findall(_QUOTED.sub(" ", text).lower()) if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = []
+    for n in (2, 3, 4):
+        acc = np.full(max(0, len(codes) - n + 1), n, np.uint64)
+        for j in range(n):
+            acc = (acc ^ codes[j : j + len(acc)]) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(acc >> np.uint64(64 - BITS))
+    return np.concatenate(out).astype(np.int64)
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) >> (64 - BITS) for w in dict.fromkeys(words)], np.int64)
+
+
+def seed_refusal(text: str, lang: int | None) -> bool:
+    """Whether a phrase of refusing stands in the text (of its language; of any if that is unknown)."""
+    return any(p.search(text) for k, p in enumerate(_REFUSAL.values()) if lang is None or k == lang)
+
+
+def _counter(first):
+    """Counts of one task: n-grams by language, words by whether a seed phrase of refusing stands beside them. At first
+    a text's language is that of its common words; then that of the profiles, where an answer is in the language of its
+    question unless they clearly say otherwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(LANGUAGES) + 2, 1 << BITS), np.int64)
+        for batch in batches:
+            met: list[list[np.ndarray]] = [[] for _ in table]
+            for question, answer in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                plain = content(answer)
+                labels = first.value.languages(question, plain) if first else [LANGUAGES.index(k) if lead >= SEED_LEAD else None for k, lead in map(common_language, (question, plain))]
+                for text, lang in zip((question, plain), labels, strict=True):
+                    if lang is not None:
+                        met[lang].append(letter_grams(text))
+                if plain and first:
+                    met[len(LANGUAGES) + seed_refusal(plain, labels[1])].append(_hashed(masked(plain)))
+            for k, hashes in enumerate(met):
+                if hashes:
+                    table[k] += np.bincount(np.concatenate(hashes), minlength=1 << BITS)
+        kind, bucket = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[kind, bucket])], ["kind", "bucket", "n"])
+
+    return run
+
+
+class Profiles:
+    """Language profiles and the words of refusals, as learnt from a table; of fixed size whatever the table's."""
+
+    def __init__(self, counts: np.ndarray):
+        grams, words = counts[: len(LANGUAGES)].astype(np.float64), counts[len(LANGUAGES) :].astype(np.float64)
+        self.known = grams.sum(1) > 0
+        every = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * (1 << BITS))
+        self.grams = np.log(0.95 * grams / np.maximum(grams.sum(1, keepdims=True), 1) + 0.05 * every).astype(np.float32)
+        whole = (words.sum(0) + 0.5) / (words.sum() + 0.5 * (1 << BITS))
+        self.words = np.log((words + 20 * whole) / (words.sum(1, keepdims=True) + 20)).astype(np.float32)
+        self.refusing = words[1].sum() > 0
+
+    def languages(self, question: str | None, answer: str | None) -> list[int | None]:
+        """The languages of both. That of the answer differs from that of the question only if LANGUAGE_ODDS say so."""
+        q, a = letter_grams(question), letter_grams(answer)
+        scores = [np.where(self.known, self.grams[:, x].sum(1) / 3, -np.inf) if len(x) and self.known.any() else None for x in (q, a)]
+        mine = None if scores[0] is None else int(scores[0].argmax())
+        if scores[1] is None:
+            return [mine, None]
+        his = int(scores[1].argmax())
+        return [mine, his if mine is None or scores[1][his] - scores[1][mine] > LANGUAGE_ODDS else mine]
+
+    def refusal_odds(self, words: list[str]) -> float:
+        h = _hashed(words)
+        return float((self.words[1, h] - self.words[0, h]).sum()) - 5.0 if self.refusing and len(h) else -99.0
+
+
+def learnt(pairs: DataFrame) -> Profiles:
+    """Counts are added up in every task and again by feature: 9 x 2**16 numbers at most reach the driver."""
+    profiles = None
+    for _ in range(2):
+        first = profiles and pairs.sparkSession.sparkContext.broadcast(profiles)
+        counts = pairs.select("question", "answer").mapInArrow(_counter(first), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+        table, rows = np.zeros((len(LANGUAGES) + 2, 1 << BITS), np.int64), counts.toPandas()
+        table[rows["kind"], rows["bucket"]] = rows["n"]
+        profiles = Profiles(table)
+    return profiles
+
+
+# --- the rules of a pair -----------------------------------------------------------------------------------------------
+
+
+def copies_question(question: list[str], answer: list[str]) -> bool:
+    """Nothing but the question again: at most three words are left when all its occurrences are taken away."""
+    n = len(question)
+    if not n or len(answer) < n:
+        return False
+    left, i, found = 0, 0, False
+    while i < len(answer):
+        if answer[i : i + n] == question:
+            i, found = i + n, True
+        else:
+            i, left = i + 1, left + 1
+    return found and left <= 3
+
+
+def unclosed(text: str) -> bool:
+    """Whether a bracket, quotation mark or code block stays open."""
+    return any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "«»", "“”")) or text.count("```") % 2 == 1
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a text, the last one possibly without a terminator."""
+    return [s for m in _SENTENCE.finditer(text) if (s := m.group(0).strip())]
+
+
+def contexts(words: list[str], i: int) -> list[str]:
+    """What the end of a sentence after word ``i`` is judged by, from the word itself to the words before it together
+    with the first two of the sentence."""
+    start = " ".join(words[:2])
+    last = [" ".join(words[max(0, i - k) : i + 1]) for k in range(5)]
+    return [*last[:2], *(f"{start}|{x}" for x in last)]
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _judge(profiles):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt_ = profiles.value
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for pair, question, answer in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                text = content(answer)
+                words = words_of(text)
+                kinds, keys, short, mark = [], [], None, False
+                if not words or " ".join(words) in FILLERS:
+                    kinds.append("empty")
+                else:
+                    copy = copies_question(words_of(question), words)
+                    if copy:
+                        kinds.append("copies_question")
+                    mine, his = learnt_.languages(question, text)
+                    if not copy and (seed_refusal(text, his) or learnt_.refusal_odds(masked(text)) > REFUSAL_ODDS):
+                        kinds.append("refusal")
+                    scripts = script_of(question), script_of(text)
+                    if all(scripts) and (scripts[0] != scripts[1] or len(words) > 1 and None not in (mine, his) and mine != his):
+                        kinds.append("other_language")
+                    mark = bool(_ELLIPSIS.search(text) or _DANGLING.search(text)) or unclosed(text)
+                    if mark and not copy:
+                        kinds.append("truncated")
+                    elif not copy and len(words) > 1 and not _CLOSED.search(text):
+                        first = masked(text)
+                        last = masked(sentences(text)[-1]) or first
+                        keys = [_key(c) for c in contexts(last, len(last) - 1)]
+                        short = _key(f"{first[0]}#{len(first)}") if len(first) <= SHORT_WORDS else None
+                for k, v in enumerate((pair, kinds, keys, short, len(words))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())], ["pair_id", "kinds", "keys", "short", "n_words"])
+
+    return run
+
+
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every complete sentence, each context and whether the sentence ends there, added up by batch; and of every
+    answer, that it has (and ends after) so many words after its first one."""
+    for batch in batches:
+        keys, ends = [], []
+        for answer in batch.column(0).to_pylist():
+            text = content(answer)
+            for s in sentences(text):
+                words = masked(s)
+                if words and _CLOSED.search(s) and not _ELLIPSIS.search(s):
+                    for i in range(len(words)):
+                        keys += map(_key, contexts(words, i))
+                        ends += [i == len(words) - 1] * CONTEXTS
+            first = masked(text)
+            for k in range(1, min(len(first), SHORT_WORDS) + 1):
+                keys.append(_key(f"{first[0]}#{k}"))
+                ends.append(k == len(first))
+        key, at = np.unique(np.array(keys, np.int64), return_inverse=True)
+        n, f = np.bincount(at, minlength=len(key)), np.bincount(at, np.array(ends, float), minlength=len(key))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(f.astype(np.int64))], ["key", "n", "n_end"])
+
+
+def end_share(found: Column) -> Column:
+    """The share of sentences that end in the longest context, each context vouched for by the next shorter one; a
+    longer context that has been met no less often says nothing new. ``found`` is a map from position (0 the shortest)
+    to ``n, n_end``."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(CONTEXTS - 1)), lambda k: F.coalesce(F.element_at(found, k), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_end"))))
+    start = F.struct(F.lit(UNKNOWN_END).alias("share"), F.lit(-1).cast("long").alias("n"))
+
+    def longer(known: Column, x: Column) -> Column:
+        share = F.when(x["n"] == known["n"], known["share"]).otherwise((x["n_end"] + WEIGHT * known["share"]) / (x["n"] + WEIGHT))
+        return F.struct(share.alias("share"), x["n"].alias("n"))
+
+    return F.aggregate(steps, start, longer)["share"]
 
 
 def defects(pairs: DataFrame) -> DataFrame:
     """``pair_id, defect``, one row per defect of every pair (repeated exports of one pair give one case).
 
-    A null question copies and contradicts nothing; a null answer is empty. An answer that ends without a terminator
-    or with an ellipsis is truncated if it ends in an ellipsis, an opening sign, a comma or a list mark, leaves a bracket
-    open, or its last sentence ends with a word that hardly ever ends one, or is shorter than nearly all of the (ten or
-    more) sentences that start alike; one-word answers, and short answers that are commonly the whole one, are complete."""
-    rows = pairs.select("pair_id", "question", "answer").distinct()
-    flags = cut(_flags(rows))
-    texts = flags.where("not empty").select(F.col("_c").alias("t"))
-    final, starts = (cut(x) for x in sentence_stats(texts))
-    short = cut(short_answers(flags.where("not empty")))
-    open_ = flags.where("not empty and _open").select("pair_id", "_c", "_a", "_last", "copies_question")
-    open_ = open_.withColumn("word", F.when(F.size("_last") > 0, F.element_at("_last", -1)).otherwise("")).withColumn("start", F.array_join(F.slice("_last", 1, 2), " ")).withColumn("whole", F.array_join(_split(F.col("_c")), " "))
-    open_ = salted_join(open_, final, ["word"], "pair_id", "left")
-    open_ = salted_join(open_, starts, ["start"], "pair_id", "left")
-    open_ = salted_join(open_, short, ["whole"], "pair_id", "left")
-    mark = F.col("_c").rlike(ELLIPSIS) | F.col("_c").rlike(r"(?:[,;:(\[{«“„—–=+]|(?:^|\s)(?:\d{1,2}[.)]|[-*•]))$") | _unclosed(F.col("_c"))
-    abrupt = F.col("n_word").isNull() | (F.col("n_final") < F.col("n_word") * F.lit(FINAL_SHARE)) | ((F.col("n_start") >= 10) & (F.size("_last") < F.col("least")))
-    complete = (F.size(F.split("_a", " ")) <= 1) | F.col("n_whole").isNotNull()
-    cut_off = open_.where(~F.col("copies_question") & (mark | (abrupt & ~complete))).select("pair_id", F.lit("truncated").alias("defect"))
-    kinds = ["empty", "refusal", "copies_question", "other_language"]
-    other = flags.select("pair_id", F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))).alias("defect"))
-    closed = flags.where("not empty and not _open").where(_unclosed(F.col("_c"))).select("pair_id", F.lit("truncated").alias("defect"))
-    return other.unionByName(cut_off).unionByName(closed).distinct()
+    A null question copies and contradicts nothing; a null answer is empty. truncated: the answer ends in an ellipsis, an
+    opening sign, a comma or a list mark, leaves a bracket open, or ends without a terminator where hardly any sentence
+    ends. An answer of one word is complete and told from the question's language by script alone; complete are also short
+    answers of a kind that commonly ends after so many words."""
+    spark: SparkSession = pairs.sparkSession
+    rows = cut(pairs.select("pair_id", "question", "answer").distinct())
+    profiles = spark.sparkContext.broadcast(learnt(rows))
+    flags = cut(rows.mapInArrow(_judge(profiles), "pair_id long, kinds array<string>, keys array<long>, short long, n_words int"))
+    asked = cut(flags.where("size(keys) > 0").select("pair_id", F.posexplode(F.concat("keys", F.array("short"))).alias("at", "key")))
+    wanted = cut(asked.where("key is not null").select("key").distinct())
+    ends = salted_join(rows.select("answer").where("answer is not null").mapInArrow(_endings, "key long, n long, n_end long"), wanted, ["key"], "n", row_bytes=16)
+    ends = cut(ends.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
+    met = salted_join(asked, ends, ["key"], "pair_id", row_bytes=32).groupBy("pair_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("at", F.struct("n", "n_end"))))).alias("met"))
+    open_ = asked.select("pair_id").distinct().join(met, "pair_id", "left")
+    empty = F.coalesce("met", F.create_map().cast("map<int,struct<n:bigint,n_end:bigint>>"))
+    whole = F.element_at("met", F.lit(CONTEXTS))
+    share = F.greatest(end_share(empty), F.coalesce((whole["n_end"] - 1) / whole["n"], F.lit(0.0)))
+    cut_off = open_.where(share < END_SHARE).select("pair_id", F.lit("truncated").alias("defect"))
+    return flags.select("pair_id", F.explode("kinds").alias("defect")).unionByName(cut_off).distinct()

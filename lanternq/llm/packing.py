@@ -11,7 +11,6 @@ import bisect
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary's texts are cut before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DIMENSIONS, BITS = 4, 8
-#: Documents of one stretch of the curve are packed together; a stretch holds about this many.
+#: Documents of one stretch of the curve are packed together; a stretch holds this many, the last one up to twice as many.
 STRETCH = 4096
 
 
@@ -110,18 +109,32 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _packer(capacities: list[tuple[str, int]]):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "doc_id"], kind="stable")
-        frames = []
-        sizes, ids, stretch = group["n_tokens"].to_numpy(), group["doc_id"].to_numpy(), int(group["stretch"].iloc[0])
-        for name, capacity in capacities:
-            pieces = np.maximum(1, -(-sizes // capacity))
-            who = np.repeat(np.arange(len(sizes)), pieces)
-            piece = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(capacity, sizes[who] - piece * capacity)
-            frames.append(pd.DataFrame({"container": name, "stretch": stretch, "bin": best_fit_decreasing(size, capacity), "doc_id": ids[who], "piece": piece.astype(np.int32), "first_token": piece * capacity, "n_tokens": size}))
-        return pd.concat(frames)
+def _pack(kinds: list[tuple[str, int]], ids: np.ndarray, sizes: np.ndarray, stretch: int) -> list[pa.Array]:
+    """One stretch of the curve in containers of every kind, as columns."""
+    columns: list[list] = [[] for _ in range(7)]
+    for name, capacity in kinds:
+        pieces = np.maximum(1, -(-sizes // capacity))
+        who = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(capacity, sizes[who] - piece * capacity)
+        for k, v in enumerate((np.full(len(who), name, object), np.full(len(who), stretch), best_fit_decreasing(size, capacity), ids[who], piece.astype(np.int32), piece * capacity, size)):
+            columns[k].append(v)
+    return [pa.array(np.concatenate(c)) for c in columns]
+
+
+def _packer(kinds: list[tuple[str, int]], length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names = ["container", "stretch", "bin", "doc_id", "piece", "first_token", "n_tokens"]
+        part, n, ids, sizes = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            ids, sizes = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([sizes, batch.column(1).to_numpy()])
+            while len(ids) >= 2 * length:
+                yield pa.RecordBatch.from_arrays(_pack(kinds, ids[:length], sizes[:length], (part << 32) + n), names)
+                ids, sizes, n = ids[length:], sizes[length:], n + 1
+        if len(ids):
+            yield pa.RecordBatch.from_arrays(_pack(kinds, ids, sizes, (part << 32) + n), names)
 
     return run
 
@@ -129,22 +142,27 @@ def _packer(capacities: list[tuple[str, int]]):
 def packed(docs: DataFrame, capacities: DataFrame, path: str = VOCABULARY, stretch: int = STRETCH) -> DataFrame:
     """``container, stretch, bin, doc_id, piece, first_token, n_tokens``: every document once in a container of every
     capacity, numbered by (stretch, bin). Only a document larger than the capacity is split, into full pieces and a
-    rest. The texts are tokenized once; ids, sizes and curve keys alone are sorted. A stretch is a range of curve
-    positions cut by rank, so equal keys don't pile up in one task.
+    rest. The texts are tokenized once, where they lie; ids, sizes and curve keys alone are sorted, into as many ranges
+    of the curve as the session has shuffle partitions, and every range is cut by rank into stretches of ``stretch``
+    to twice as many documents. The id is part of the order, so equal keys don't pile up in one range.
 
     ``capacities`` is a fixed list of container kinds (a handful of rows), read by the driver; documents without text
-    take a place of size 0."""
+    take a place of size 0, rows repeated for one id count once, with the largest size."""
     kinds = [(r["container"], int(r["capacity"])) for r in capacities.where("capacity > 0").dropDuplicates(["container"]).orderBy("container").collect()]
-    sizes = cut(measured(docs.dropDuplicates(["doc_id"]), path))
-    n = sizes.count()
-    parts = max(1, -(-n // stretch))
-    ranged = sizes.repartitionByRange(parts, "key", F.xxhash64("doc_id")) if parts > 1 else sizes.coalesce(1)
-    ranged = cut(ranged.withColumn("stretch", F.spark_partition_id()))
-    schema = "container string, stretch int, bin long, doc_id long, piece int, first_token long, n_tokens long"
-    return ranged.groupBy("stretch").applyInPandas(_packer(kinds), schema)
+    spark = docs.sparkSession
+    sizes = measured(docs, path).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "key")).alias("m")).select("doc_id", "m.n_tokens", "m.key")
+    sizes = cut(sizes)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, sizes.count() // stretch))
+    ranged = sizes.repartitionByRange(parts, "key", F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id")).select("doc_id", "n_tokens")
+    schema = "container string, stretch long, bin long, doc_id long, piece int, first_token long, n_tokens long"
+    return ranged.mapInArrow(_packer(kinds, stretch), schema)
 
 
 def summary(assignment: DataFrame, capacities: DataFrame) -> DataFrame:
-    """``container, n_bins, n_pieces, tokens, fill``: how full the containers of each kind are."""
-    per = assignment.groupBy("container").agg(F.countDistinct("stretch", "bin").alias("n_bins"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("tokens"))
-    return per.join(F.broadcast(capacities.select("container", "capacity").distinct()), "container").select("container", "n_bins", "n_pieces", "tokens", F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("fill"))
+    """``container, capacity, n_bins, n_pieces, tokens, least_bins, fill``: how full the containers of each kind are,
+    beside the number that could not be undercut (all tokens over the capacity)."""
+    per_bin = assignment.groupBy("container", "stretch", "bin").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("load"))
+    per = per_bin.groupBy("container").agg(F.count("*").alias("n_bins"), F.sum("pieces").alias("n_pieces"), F.sum("load").alias("tokens"))
+    out = per.join(F.broadcast(capacities.select("container", "capacity").distinct()), "container")
+    return out.select("container", "capacity", "n_bins", "n_pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("fill"))

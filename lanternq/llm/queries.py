@@ -67,10 +67,18 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "capacities"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_packed(spark, d), table(spark, d, "capacities"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "evalitems"))
 
 
+def p9_containment(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.containment(table(spark, d, "documents"), table(spark, d, "evalitems"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return language.mislabelled(table(spark, d, "documents"))
 
@@ -80,5 +88,5 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_redacted, p2_found, p2_articles, p3_found, p3_cleaned, p4_found, p4_cleaned, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p8_packed, p9_found, p10_found, p10_segments]
+    found = [p1_found, p1_redacted, p2_found, p2_articles, p3_found, p3_cleaned, p4_found, p4_cleaned, p5_found, p5_collapsed, p6_found, p6_restored, p7_found, p8_packed, p8_fill, p9_found, p9_containment, p10_found, p10_segments]
     return {f.__name__: f for f in found}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternq.plans.scale import broadcast_if_small, cut, digest, salted_join
+from lanternq.plans.scale import cut, digest, salted_join
 
 #: Single-byte encodings in which text is commonly misread, and those in which it is commonly stored.
 READ_AS = ("latin_1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "mac_cyrillic", "iso8859_2", "iso8859_15", "cp1254")
@@ -70,7 +70,7 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
     for x in STORED_AS:
         if (data := _encoded(word, x)) is not None:
             for y in READ_AS:
-                if x != y and len(word) > 2 and LETTERS.search(word):
+                if x != y and LETTERS.search(word):
                     forms.setdefault(_decoded(data, y), (f"{x}>{y}", False))
             forms.setdefault(data.decode("utf-8", "replace"), (f"{x}>utf_8", LOST in data.decode("utf-8", "replace")))
     forms.pop(word, None)
@@ -127,9 +127,11 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
     words = cut(tokens.select(F.btrim("token", F.lit(EDGE)).alias("key"), "h").distinct().groupBy("key").agg(F.count("*").alias("n")))
     clean = words.withColumnRenamed("key", "token").mapInPandas(_garble, "form string, original string, chain string, multi boolean, word boolean, n long")
     totals = words.select(F.col("key"), F.col("n").alias("kn"))
-    looked_up, _ = broadcast_if_small(cut(keys.join(totals, "key", "left")), 140)
-    hits = clean.join(looked_up, clean["form"] == looked_up["key"]).where("multi or (is_word and word)").where("is_word = word or not word")
-    hits = hits.select("token", "original", "chain", "form", "n", "multi", F.when(~F.col("multi"), F.log(F.col("n") / F.col("kn"))).alias("odds"))
+    looked_up = cut(keys.join(totals, "key", "left").withColumnRenamed("key", "form"))
+    hits = salted_join(clean, looked_up, ["form"], "original", row_bytes=140).where("multi or (is_word and word)").where("is_word = word or not word")
+    # Words of one or two letters stand in too many languages to speak for a chain: they follow the others.
+    odds = F.when(~F.col("multi"), F.when(F.length("original") > 2, F.log(F.col("n") / F.col("kn"))).otherwise(F.lit(0.0)))
+    hits = hits.select("token", "original", "chain", "form", "n", "multi", odds.alias("odds"))
     lost = keys.where(F.col("key") == LOST).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit("").alias("form"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("multi"), F.lit(None).cast("double").alias("odds"))
     stored = F.when(~F.col("multi"), F.substring_index("chain", ">", 1)).alias("stored")
     rank = F.struct(F.length("form").alias("length"), F.col("n"), F.reverse("original").alias("reversed"))
@@ -168,17 +170,24 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
 
 
 def restored(docs: DataFrame) -> DataFrame:
-    """The garbled documents with ``restored``: every garbled form replaced by its original, longest first. Tokens
-    that cannot be had back stay. The forms of a document are gathered per document, bounded by its own length."""
-    fixes = garbled_places(docs).groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), F.collect_set(F.when(F.col("original").isNotNull(), F.struct("form", "original"))).alias("_fixes")).where("_real")
+    """The garbled documents with ``restored``: in every garbled token the garbled forms are replaced by their originals,
+    longest first; all other tokens stay, and so do those that cannot be had back. The forms of a document are gathered
+    per document, bounded by its own length."""
+    some = F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "form", "original"))).alias("_fixes")
+    fixes = garbled_places(docs).groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), some).where("_real")
 
     @F.pandas_udf(T.StringType())
     def fix(text: pd.Series, fixes: pd.Series) -> pd.Series:
-        out = []
-        for t, f in zip(text, fixes, strict=True):
-            table = {x["form"]: x["original"] for x in f}
-            pattern = "|".join(regex.escape(k) for k in sorted(table, key=len, reverse=True))
-            out.append(regex.sub(pattern, lambda m: table[m.group(0)], t) if table else t)
-        return pd.Series(out, dtype=object)
+        return pd.Series([repaired(t, [(x["token"], x["form"], x["original"]) for x in f]) for t, f in zip(text, fixes, strict=True)], dtype=object)
 
     return docs.join(fixes, "doc_id").withColumn("restored", fix("text", "_fixes")).drop("_fixes", "_real")
+
+
+def repaired(text: str, fixes: list[tuple[str, str, str]]) -> str:
+    """The text with the forms of ``fixes`` (token, form, original) replaced within the tokens named there."""
+    table = {form: original for _, form, original in fixes}
+    if not table:
+        return text
+    forms = regex.compile("|".join(regex.escape(k) for k in sorted(table, key=len, reverse=True)))
+    tokens = {t: forms.sub(lambda m: table[m.group(0)], t) for t, _, _ in fixes}
+    return regex.sub(TOKEN.replace(r"\s", r" \t\n\x0b\f\r"), lambda m: tokens.get(m.group(0), m.group(0)), text)

@@ -33,7 +33,7 @@ PATCH, STEPS, HIDDEN, CLASSES = 4, 32, 20, 96
 MIN_LETTERS, MIN_CONFIDENCE, MIN_SENTENCES = 16, 0.9, 2
 #: A segment leaves its document's main language only when the other one is more likely by this much (natural log).
 SWITCH = 10.0
-QUOTED = re.compile(rb"\"[^\"\n]{1,120}\"|\xe2\x80[\x9c\x9e](?:(?!\xe2\x80[\x9c\x9d]).){1,120}?\xe2\x80[\x9c\x9d]|\xc2\xab(?:(?!\xc2\xbb)[^\n]){1,120}?\xc2\xbb")
+QUOTED = re.compile(rb"\"[^\"\n]+\"|\xe2\x80[\x9c\x9e](?:(?!\xe2\x80[\x9c\x9d])[^\n])+\xe2\x80[\x9c\x9d]|\xc2\xab(?:(?!\xc2\xbb)[^\n])+\xc2\xbb")
 
 
 def _byte_classes() -> np.ndarray:
@@ -278,26 +278,57 @@ def label_code(label: Column) -> Column:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> ByteGru:
-    """Trains on at most ``sample`` labelled documents, picked by a hash of their text. The labelled rows are counted
+    """Trains on at most ``sample`` labelled documents, picked by a hash of their text, copies once. The labelled rows are counted
     first, so that every task sends no more than its share of the sample to the driver, however many tasks there are.
     Without a labelled document the network stays untrained."""
     rows = docs.where(F.col("text").isNotNull()).select("text", label_code(F.col("lang")).alias("code")).where("code is not null")
     part = min(1.0, 1.3 * sample / max(1, docs.where(label_code(F.col("lang")).isNotNull()).count()))
-    rows = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= F.lit(int(part * (1 << 30))))
+    rows = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) <= F.lit(int(part * (1 << 30)))).dropDuplicates(["h", "code"])
     rows = rows.orderBy("h", "code").limit(sample).toPandas()
     return train(list(rows["text"]), list(rows["code"]))
 
 
-SEGMENTS = "doc_id long, seg_no int, start_byte long, end_byte long, letters long, lang string, confidence double"
+SEGMENTS = "doc_id long, seg_no int, start_char long, end_char long, letters long, lang string, confidence double"
+#: Texts are read in batches of at most so many documents and, but for a longer one alone, so many bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 21
+
+
+def _batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = np.diff(buffers(whole.column(1))[1])
+    first, load = 0, 0
+    for k, n in enumerate(size):
+        if k > first and (load + n > BATCH_BYTES or k - first == BATCH_ROWS):
+            yield whole.slice(first, k - first)
+            first, load = k, 0
+        load += n
+    if whole.num_rows > first:
+        yield whole.slice(first)
+
+
+def _runs(ids, codes, doc_of, start, end, letters, best, sure, data, offsets) -> pa.RecordBatch:
+    """Neighbouring sentences of one language as one segment, its place counted in code points."""
+    has = np.flatnonzero(letters > 0)
+    fresh = np.append(True, (doc_of[has][1:] != doc_of[has][:-1]) | (best[has][1:] != best[has][:-1]))
+    at = np.flatnonzero(fresh)
+    first, last = has[at], has[np.append(at[1:], len(has)) - 1]
+    doc = doc_of[first]
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    place = lambda byte: points[offsets[doc] + byte] - points[offsets[doc]]
+    size = np.add.reduceat(letters[has], at)
+    number = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[doc]), pa.array(number.astype(np.int32)), pa.array(place(start[first])), pa.array(place(end[last])), pa.array(size), pa.array(codes[best[first]]), pa.array(np.add.reduceat((sure * letters)[has], at) / size)],
+        ["doc_id", "seg_no", "start_char", "end_char", "letters", "lang", "confidence"],
+    )
 
 
 def _labeller(model: ByteGru, merge: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _batches(whole):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                x, owner, doc_of, start, end, letters = encode(*buffers(batch.column(1)))
+                data, offsets = buffers(batch.column(1))
+                x, owner, doc_of, start, end, letters = encode(data, offsets)
                 if not len(x) or not (letters > 0).any():
                     continue
                 scores = model.log_probs(x).reshape(-1, len(CODES))
@@ -310,12 +341,7 @@ def _labeller(model: ByteGru, merge: bool):
                 odds = np.exp(np.maximum(pooled - pooled.max(1, keepdims=True), -50))
                 sure = odds[np.arange(len(best)), best] / odds.sum(1)
                 if not merge:
-                    has = letters > 0
-                    number = np.arange(len(doc_of)) - np.searchsorted(doc_of, doc_of, "left")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[doc_of[has]]), pa.array(number[has].astype(np.int32)), pa.array(start[has]), pa.array(end[has]), pa.array(letters[has]), pa.array(np.array(CODES)[best[has]]), pa.array(sure[has])],
-                        ["doc_id", "seg_no", "start_byte", "end_byte", "letters", "lang", "confidence"],
-                    )
+                    yield _runs(ids, np.array(CODES), doc_of, start, end, letters, best, sure, data, offsets)
                     continue
                 counts = (letters >= MIN_LETTERS) & (sure >= MIN_CONFIDENCE)
                 grid = len(CODES) * doc_of + best
@@ -332,7 +358,8 @@ def _labeller(model: ByteGru, merge: bool):
 
 
 def segments(docs: DataFrame, model: ByteGru | None = None) -> DataFrame:
-    """Every segment with a letter: its place in the text (bytes of UTF-8), language and confidence."""
+    """Every segment in one language: its place in the text (code points), letters, language and confidence (that of
+    its sentences, weighted by their letters). Sentences without a letter belong to the segment around them."""
     model = model or fitted(docs)
     return docs.select("doc_id", "text").mapInArrow(_labeller(model, False), SEGMENTS)
 

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternq.llm.contamination import A, WordHashes, mixed
 from lanternq.plans.scale import cut, salted_join
 
 #: An answer without a terminator breaks off where fewer than this share of sentences end.
@@ -27,8 +28,7 @@ UNKNOWN_END, WEIGHT = 0.01, 2.0
 CONTEXTS, SHORT_WORDS = 7, 6
 #: Language profiles and the words of refusals are tables of fixed size: 2 ** BITS hashed features.
 BITS = 16
-#: How much likelier (natural logarithm) another language must be than that of the question, n-grams of a text being
-#: counted at a third as three lengths overlap; and the odds a learnt refusal must reach.
+#: How much likelier (natural logarithm) another language must be than that of the question, and the odds a learnt refusal must reach.
 LANGUAGE_ODDS, REFUSAL_ODDS = 4.0, 4.0
 #: A text seeds the profile of a language whose common words are ahead by this share of its words.
 SEED_LEAD = 0.1
@@ -80,7 +80,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def masked(text: str) -> list[str]:
-    return [_DIGITS.sub("0", w) for w in words_of(text)]
+    return words_of(_DIGITS.sub("0", text))
 
 
 def content(answer: str | None) -> str:
@@ -98,7 +98,11 @@ def script_of(text: str | None) -> str:
         return ""
     if letters.isascii():
         return "Latin"
-    counts = [(len(p.findall(letters)), s) for s, p in _SCRIPT]
+    counts = []
+    for script, pattern in _SCRIPT:
+        counts.append((len(pattern.findall(letters)), script))
+        if 2 * counts[-1][0] > len(letters):
+            break
     return max(counts)[1] if max(counts)[0] else "other"
 
 
@@ -110,22 +114,19 @@ def common_language(text: str | None) -> tuple[str, float]:
 
 
 def letter_grams(text: str | None) -> np.ndarray:
-    """Hashed runs of two, three and four letters (word borders are letters too) of a text without its quotes."""
+    """Hashed runs of three letters (word borders are letters too) of a text without its quotes."""
     words = _LETTERS.findall(_QUOTED.sub(" ", text).lower()) if text else []
     if not words:
         return np.zeros(0, np.int64)
     codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    out = []
-    for n in (2, 3, 4):
-        acc = np.full(max(0, len(codes) - n + 1), n, np.uint64)
-        for j in range(n):
-            acc = (acc ^ codes[j : j + len(acc)]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(acc >> np.uint64(64 - BITS))
-    return np.concatenate(out).astype(np.int64)
+    acc = codes[:-2] * A
+    for j in (1, 2):
+        acc = (acc ^ codes[j : j + len(acc)]) * A
+    return (acc >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _hashed(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) >> (64 - BITS) for w in dict.fromkeys(words)], np.int64)
+def _hashed(words: list[str], known: WordHashes) -> np.ndarray:
+    return np.array([known[w] >> (64 - BITS) for w in dict.fromkeys(words)], np.int64)
 
 
 def seed_refusal(text: str, lang: int | None) -> bool:
@@ -139,17 +140,18 @@ def _counter(first):
     question unless they clearly say otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(LANGUAGES) + 2, 1 << BITS), np.int64)
+        table, known = np.zeros((len(LANGUAGES) + 2, 1 << BITS), np.int64), WordHashes()
         for batch in batches:
             met: list[list[np.ndarray]] = [[] for _ in table]
             for question, answer in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 plain = content(answer)
-                labels = first.value.languages(question, plain) if first else [LANGUAGES.index(k) if lead >= SEED_LEAD else None for k, lead in map(common_language, (question, plain))]
-                for text, lang in zip((question, plain), labels, strict=True):
+                grams = letter_grams(question), letter_grams(plain)
+                labels = first.value.languages(*grams) if first else [LANGUAGES.index(k) if lead >= SEED_LEAD else None for k, lead in map(common_language, (question, plain))]
+                for g, lang in zip(grams, labels, strict=True):
                     if lang is not None:
-                        met[lang].append(letter_grams(text))
+                        met[lang].append(g)
                 if plain and first:
-                    met[len(LANGUAGES) + seed_refusal(plain, labels[1])].append(_hashed(masked(plain)))
+                    met[len(LANGUAGES) + seed_refusal(plain, labels[1])].append(_hashed(masked(plain), known))
             for k, hashes in enumerate(met):
                 if hashes:
                     table[k] += np.bincount(np.concatenate(hashes), minlength=1 << BITS)
@@ -166,23 +168,22 @@ class Profiles:
         grams, words = counts[: len(LANGUAGES)].astype(np.float64), counts[len(LANGUAGES) :].astype(np.float64)
         self.known = grams.sum(1) > 0
         every = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * (1 << BITS))
-        self.grams = np.log(0.95 * grams / np.maximum(grams.sum(1, keepdims=True), 1) + 0.05 * every).astype(np.float32)
+        self.grams = np.log(0.95 * grams / np.maximum(grams.sum(1, keepdims=True), 1) + 0.05 * every).astype(np.float32).T.copy()
         whole = (words.sum(0) + 0.5) / (words.sum() + 0.5 * (1 << BITS))
         self.words = np.log((words + 20 * whole) / (words.sum(1, keepdims=True) + 20)).astype(np.float32)
         self.refusing = words[1].sum() > 0
 
-    def languages(self, question: str | None, answer: str | None) -> list[int | None]:
-        """The languages of both. That of the answer differs from that of the question only if LANGUAGE_ODDS say so."""
-        q, a = letter_grams(question), letter_grams(answer)
-        scores = [np.where(self.known, self.grams[:, x].sum(1) / 3, -np.inf) if len(x) and self.known.any() else None for x in (q, a)]
+    def languages(self, question: np.ndarray, answer: np.ndarray) -> list[int | None]:
+        """The languages of both (given by their letter n-grams). That of the answer differs from that of the question
+        only if LANGUAGE_ODDS say so."""
+        scores = [np.where(self.known, self.grams[x].sum(0), -np.inf) if len(x) and self.known.any() else None for x in (question, answer)]
         mine = None if scores[0] is None else int(scores[0].argmax())
         if scores[1] is None:
             return [mine, None]
         his = int(scores[1].argmax())
         return [mine, his if mine is None or scores[1][his] - scores[1][mine] > LANGUAGE_ODDS else mine]
 
-    def refusal_odds(self, words: list[str]) -> float:
-        h = _hashed(words)
+    def refusal_odds(self, h: np.ndarray) -> float:
         return float((self.words[1, h] - self.words[0, h]).sum()) - 5.0 if self.refusing and len(h) else -99.0
 
 
@@ -225,21 +226,28 @@ def sentences(text: str) -> list[str]:
     return [s for m in _SENTENCE.finditer(text) if (s := m.group(0).strip())]
 
 
-def contexts(words: list[str], i: int) -> list[str]:
-    """What the end of a sentence after word ``i`` is judged by, from the word itself to the words before it together
-    with the first two of the sentence."""
-    start = " ".join(words[:2])
-    last = [" ".join(words[max(0, i - k) : i + 1]) for k in range(5)]
-    return [*last[:2], *(f"{start}|{x}" for x in last)]
+def context_keys(sentences_: list[list[str]], known: WordHashes) -> np.ndarray:
+    """What the end of a sentence after each of its words is judged by, as hashes (words x CONTEXTS): the word, the
+    word and the one before it, and one to five words together with the first two of the sentence."""
+    size = np.array([len(w) for w in sentences_], np.int64)
+    h = np.array([known[w] for words in sentences_ for w in words], np.uint64)
+    start = np.repeat(np.cumsum(size) - size, size)
+    at = np.arange(len(h)) - start
+    first = mixed(h[start] * A + h[np.minimum(start + 1, start + np.repeat(size, size) - 1)])
+    last = [mixed(h)]
+    for k in range(1, CONTEXTS - 2):
+        before = np.where(at >= k, h[np.maximum(np.arange(len(h)) - k, 0)], A)
+        last.append(mixed(last[-1] * A + before))
+    return np.stack([*last[:2], *(mixed(first + x) for x in last)], 1).view(np.int64)
 
 
-def _key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def _short_key(word: str, n: int) -> int:
+    return xxhash.xxh64_intdigest(f"{word}#{n}") - (1 << 63)
 
 
 def _judge(profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt_ = profiles.value
+        learnt_, known = profiles.value, WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for pair, question, answer in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -252,8 +260,9 @@ def _judge(profiles):
                     copy = copies_question(words_of(question), words)
                     if copy:
                         kinds.append("copies_question")
-                    mine, his = learnt_.languages(question, text)
-                    if not copy and (seed_refusal(text, his) or learnt_.refusal_odds(masked(text)) > REFUSAL_ODDS):
+                    mine, his = learnt_.languages(letter_grams(question), letter_grams(text))
+                    first = masked(text)
+                    if not copy and (seed_refusal(text, his) or learnt_.refusal_odds(_hashed(first, known)) > REFUSAL_ODDS):
                         kinds.append("refusal")
                     scripts = script_of(question), script_of(text)
                     if all(scripts) and (scripts[0] != scripts[1] or len(words) > 1 and None not in (mine, his) and mine != his):
@@ -262,10 +271,9 @@ def _judge(profiles):
                     if mark and not copy:
                         kinds.append("truncated")
                     elif not copy and len(words) > 1 and not _CLOSED.search(text):
-                        first = masked(text)
                         last = masked(sentences(text)[-1]) or first
-                        keys = [_key(c) for c in contexts(last, len(last) - 1)]
-                        short = _key(f"{first[0]}#{len(first)}") if len(first) <= SHORT_WORDS else None
+                        keys = context_keys([last], known)[-1].tolist()
+                        short = _short_key(first[0], len(first)) if len(first) <= SHORT_WORDS else None
                 for k, v in enumerate((pair, kinds, keys, short, len(words))):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())], ["pair_id", "kinds", "keys", "short", "n_words"])
@@ -276,20 +284,21 @@ def _judge(profiles):
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every complete sentence, each context and whether the sentence ends there, added up by batch; and of every
     answer, that it has (and ends after) so many words after its first one."""
+    known = WordHashes()
     for batch in batches:
-        keys, ends = [], []
+        whole, keys, ends = [], [], []
         for answer in batch.column(0).to_pylist():
             text = content(answer)
-            for s in sentences(text):
-                words = masked(s)
-                if words and _CLOSED.search(s) and not _ELLIPSIS.search(s):
-                    for i in range(len(words)):
-                        keys += map(_key, contexts(words, i))
-                        ends += [i == len(words) - 1] * CONTEXTS
+            whole += [words for s in sentences(text) if _CLOSED.search(s) and not _ELLIPSIS.search(s) and (words := masked(s))]
             first = masked(text)
             for k in range(1, min(len(first), SHORT_WORDS) + 1):
-                keys.append(_key(f"{first[0]}#{k}"))
+                keys.append(_short_key(first[0], k))
                 ends.append(k == len(first))
+        if whole:
+            found = context_keys(whole, known)
+            last = np.zeros(len(found), bool)
+            last[np.cumsum([len(w) for w in whole]) - 1] = True
+            keys, ends = np.concatenate([np.array(keys, np.int64), found.ravel()]), np.concatenate([ends, np.repeat(last, CONTEXTS)])
         key, at = np.unique(np.array(keys, np.int64), return_inverse=True)
         n, f = np.bincount(at, minlength=len(key)), np.bincount(at, np.array(ends, float), minlength=len(key))
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(f.astype(np.int64))], ["key", "n", "n_end"])

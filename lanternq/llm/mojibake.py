@@ -129,8 +129,9 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
     totals = words.select(F.col("key"), F.col("n").alias("kn"))
     looked_up = cut(keys.join(totals, "key", "left").withColumnRenamed("key", "form"))
     hits = salted_join(clean, looked_up, ["form"], "original", row_bytes=140).where("multi or (is_word and word)").where("is_word = word or not word")
-    # Words of one or two letters stand in too many languages to speak for a chain: they follow the others.
-    odds = F.when(~F.col("multi"), F.when(F.length("original") > 2, F.log(F.col("n") / F.col("kn"))).otherwise(F.lit(0.0)))
+    # Words of one or two letters stand in too many languages to speak for a chain, only against it: they follow the others.
+    odds = F.log(F.col("n") / F.col("kn"))
+    odds = F.when(~F.col("multi"), F.when(F.length("original") > 2, odds).otherwise(F.least(F.lit(0.0), odds)))
     hits = hits.select("token", "original", "chain", "form", "n", "multi", odds.alias("odds"))
     lost = keys.where(F.col("key") == LOST).select("token", F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit("").alias("form"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("multi"), F.lit(None).cast("double").alias("odds"))
     stored = F.when(~F.col("multi"), F.substring_index("chain", ">", 1)).alias("stored")
@@ -170,8 +171,8 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
 
 
 def restored(docs: DataFrame) -> DataFrame:
-    """The garbled documents with ``restored``: in every garbled token the garbled forms are replaced by their originals,
-    longest first; all other tokens stay, and so do those that cannot be had back. The forms of a document are gathered
+    """The garbled documents with ``restored``: the garbled forms are replaced by their originals, longest first, but
+    not inside clean words; and so do those that cannot be had back. The forms of a document are gathered
     per document, bounded by its own length."""
     some = F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "form", "original"))).alias("_fixes")
     fixes = garbled_places(docs).groupBy("doc_id").agg(F.max(~F.col("bare")).alias("_real"), some).where("_real")
@@ -184,10 +185,16 @@ def restored(docs: DataFrame) -> DataFrame:
 
 
 def repaired(text: str, fixes: list[tuple[str, str, str]]) -> str:
-    """The text with the forms of ``fixes`` (token, form, original) replaced within the tokens named there."""
+    """The text with the forms of ``fixes`` (token, form, original) replaced within the tokens named there and in those
+    that are no clean words."""
     table = {form: original for _, form, original in fixes}
     if not table:
         return text
     forms = regex.compile("|".join(regex.escape(k) for k in sorted(table, key=len, reverse=True)))
-    tokens = {t: forms.sub(lambda m: table[m.group(0)], t) for t, _, _ in fixes}
-    return regex.sub(TOKEN.replace(r"\s", r" \t\n\x0b\f\r"), lambda m: tokens.get(m.group(0), m.group(0)), text)
+    named = {t for t, _, _ in fixes}
+
+    def mend(m: regex.Match) -> str:
+        token = m.group(0)
+        return forms.sub(lambda x: table[x.group(0)], token) if token in named or not is_clean(token.strip(EDGE)) else token
+
+    return regex.sub(TOKEN.replace(r"\s", r" \t\n\x0b\f\r"), mend, text)

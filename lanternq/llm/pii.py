@@ -8,6 +8,7 @@ ends up with a high score is accepted wherever it stands, with or without a cue.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,9 @@ from pyspark.sql import types as T
 from lanternq.plans.scale import cut, salted_join
 
 ROUNDS = 4
-CLASSES = ("phone", "id_number", "address", "other")
+CLASSES = ("email", "phone", "id_number", "address", "other")
+#: The classes that instances of a form can be of: words of streets, forms of e-mail addresses, shapes of numbers.
+POSSIBLE = {"w:": ("address", "other"), "m:": ("email", "other"), "": ("phone", "id_number", "other")}
 
 #: Words before a mention that tell its kind.
 CUES = {
@@ -30,8 +33,11 @@ CUES = {
 }
 #: Words after a mention that tell its kind.
 AFTER = {"id_number": ("national number",)}
-#: Words of streets.
-STREETS = "street st lane road rd avenue ave drive dr close way walk court ct terrace place square row grove hill rue boulevard via viale piazza corso calle avenida plaza paseo rua travessa largo ул улица пер переулок проспект straße strasse str weg gasse allee platz"
+#: The words of streets that start the process, one or two for each language; others are learnt.
+STREETS = "street rue via calle rua улица ул straße strasse"
+STREET_WORDS = frozenset(STREETS.split())
+#: Fixed value: the form of e-mail address that starts the process.
+MAIL_FORM = "m:x@x.x"
 #: Phrases that introduce a name; titles that stand before one but are no part of it.
 NAME_CUES = r"(?:my name is|mein name ist|ich hei(?:ß|ss)e|je m['’]appelle|mon nom est|me llamo|mi nombre es|mi chiamo|il mio nome è|(?:eu )?me chamo|chamo-me|o meu nome é|меня зовут|for (?:mr|mrs|ms|dr)\.?)"
 TITLES = frozenset("mr mrs ms miss dr prof herr frau monsieur madame mme señor señora sr sra signor signora sig senhor senhora г-н г-жа господин госпожа".split())
@@ -41,10 +47,10 @@ OPENERS = frozenset("hi hello dear hallo liebe lieber bonjour salut hola ciao bu
 EMAIL = regex.compile(r"[\w.+\-]+ ?(?:@|\(at\)|\[at\]) ?[\w\-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[\w\-]+)+", regex.I)
 #: An address as the JVM takes it out, so that the words in it count neither as names nor as ordinary words.
 MAIL = r"(?i)[\w.+\-]+ ?(?:@|\(at\)|\[at\]) ?[\w.\-]+(?: ?(?:\(dot\)|\[dot\]) ?[\w\-]+)*"
-NUMBER = regex.compile(r"(?<![\w@+#.\-/(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?: ?[A-Z])?(?!\w)|(?<=[(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?!\w)|(?<![\w\-])[A-Z]{1,2} ?\d+(?: \d+)* ?[A-Z]?(?!\w)")
+NUMBER = regex.compile(r"(?<![\w@+#.\-/(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?: ?[A-Z])?(?!\w)|(?<=[(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,5}\)[ .\-]?)?\d+(?:[ .\-/]\d+)*(?!\w)|(?<![\w\-])[A-Z]{1,2} ?\d+(?: \d+)* ?[A-Z]?(?!\w|-\d)")
 FLAT = r"(?:(?:unit|flat|apt\.?|apartment|suite) \d+\w?, )?"
 ADDRESS = regex.compile(
-    rf"(?<![\w\-])(?:(?i:{FLAT})(?P<n>\d{{1,4}})(?P<x>[a-z]?),? (?P<w1>\p{{L}}[\p{{L}}'’\-]*) (?P<t1>\p{{Lu}}\p{{L}}+)\b"
+    rf"(?<![\w\-])(?<!\d )(?<!\b(?i:flat|unit|apartment|suite|apt\.?|ext\.?) )(?:(?i:{FLAT})(?P<n>\d{{1,4}})(?P<x>[a-z]?),? (?P<w1>\p{{L}}[\p{{L}}'’\-]*) (?P<t1>\p{{Lu}}\p{{L}}+)\b"
     r"|\d{1,4}(?: ?(?:bis|ter))?,? (?P<t2>\p{L}+) (?:de la |de l['’]|des? |du |d['’])?\p{Lu}[\p{L}\-]+"
     r"|(?P<t3>\p{L}+) (?:del|dei|delle|della|degli|dello|di|de la|de los|de las|de|das|dos|da|do) \p{Lu}[\p{L}\-]+(?: \p{Lu}[\p{L}\-]+)*,? (?:n\.? ?)?\d{1,4}"
     r"|(?P<t4>ул|пер|просп|пр|наб|бульв)\. ?\p{Lu}[\p{L}\-]+(?: \p{Lu}[\p{L}\-]+)*, ?(?:д\. ?)?\d+|\p{Lu}[\p{L}\-]+ (?P<t5>улица|переулок|проспект|набережная|бульвар), ?(?:д\. ?)?\d+"
@@ -52,14 +58,20 @@ ADDRESS = regex.compile(
 )
 WORD = regex.compile(r"\d+|\p{L}[\p{L}\p{M}'’\-]*\.?|[^\s\w]|\n")
 NAME = r"\p{Lu}[\p{L}\p{M}'’\-]*"
-NAMES = regex.compile(rf"(?<![\w@.+\-]){NAME}(?:(?:,? (?:(?:van|von|der|den|de|di|da|del|la|le|du|dos) )*|(?<=\b\p{{Lu}})\. |(?<=\b(?:Mr|Ms|Dr|Mrs|Sr|Sra|Mme))\. ){NAME}){{0,4}}")
+NAMES = regex.compile(rf"(?<![\w@.+\-]){NAME}(?:(?:,? (?:(?:van|von|der|den|de|di|da|del|la|le|du|dos) )*|(?<=\b\p{{Lu}})\. |(?<=\b(?:Mr|Ms|Dr|Mrs|Sr|Sra|Mme))\. ){NAME})*")
 DIGIT_NEXT = regex.compile(r"\s?\d")
 CITY = regex.compile(r"(?:, (?:\d{4,5} )?\p{Lu}\p{L}+)?")
 INTRO = regex.compile(rf"(?i:\b{NAME_CUES})\s+")
 TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}'’\-]*")
-KEYS = "tab_name string, row_key string, field string"
+KEY = ("tab_name", "row_key", "field")
+KEYS = ", ".join(f"{k} string" for k in KEY)
 MENTIONS = f"{KEYS}, start long, end long, kind string, inst string, l string, r string, cue string"
 PARTNER, TRUSTED = 0.6, 3
+#: What a pattern that speaks against a class leaves of it, and the share of an instance's mentions that must be of a
+#: class for a cue alone to tell it.
+PATTERN_FLOOR, CUE_SHARE = 0.1, 0.15
+#: Numbers of up to so many characters (counts, years, marks) have patterns apart from longer ones.
+SHORT_NUMBER = 4
 
 
 def fields(goldset: DataFrame, answers: DataFrame) -> DataFrame:
@@ -69,26 +81,45 @@ def fields(goldset: DataFrame, answers: DataFrame) -> DataFrame:
     return q.unionByName(a).where("text is not null and text <> ''").distinct()
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    left = [w.lower() for w in WORD.findall(text[max(0, start - 40) : start])]
-    right = [w.lower() for w in WORD.findall(text[end : end + 30])]
-    mask = lambda w: "0" if w.isdigit() else w
-    return " ".join(map(mask, left[-2:])) or "^", " ".join(map(mask, right[:2])) or "$"
+class Words:
+    """The words of a text with their places, for the words around a mention."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = list(WORD.finditer(text))
+        self.words = [m.group(0).lower() for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+
+    def around(self, start: int, end: int) -> tuple[str, str]:
+        """The two words before and the two after a place, digits masked."""
+        i, j = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        mask = lambda words: " ".join("0" if w.isdigit() else w for w in words)
+        return mask(self.words[max(0, i - 2) : i]) or "^", mask(self.words[j : j + 2]) or "$"
+
+    def cue(self, start: int, end: int) -> str:
+        """The kind that a phrase after the place or one of the three words before it (in its sentence) tells."""
+        j = bisect.bisect_left(self.starts, end)
+        after = " ".join(self.words[j : j + 4])
+        for kind, phrases in AFTER.items():
+            if any(p in after for p in phrases):
+                return kind
+        i, left = bisect.bisect_right(self.ends, start), 3
+        while i > 0 and left:
+            i -= 1
+            w = self.words[i]
+            ends = SENTENCE if w in (".", "?", "!") else CAPITAL if w[-1] == "." and w.rstrip(".") not in _CUE_OF else None
+            if w in ("\n", "|") or ends and ends.match(self.text, self.ends[i]):
+                break
+            if w[0].isalpha():
+                left -= 1
+                bare = regex.split(r"['’]", w.rstrip("."))[-1]
+                if bare in _CUE_OF:
+                    return _CUE_OF[bare]
+        return ""
 
 
 _CUE_OF = {w: k for k, words in CUES.items() for w in words.split()}
-
-
-def _cue(text: str, start: int, end: int) -> str:
-    after = text[end : end + 24].lower()
-    for kind, phrases in AFTER.items():
-        if any(p in after for p in phrases):
-            return kind
-    piece = regex.split(r"\n|\||[.?!]\s+(?=\p{Lu})", text[max(0, start - 40) : start])[-1]
-    for w in reversed([w.lower() for w in TOKEN.findall(piece)][-3:]):
-        if w in _CUE_OF:
-            return _CUE_OF[w]
-    return ""
+CAPITAL, SENTENCE = regex.compile(r"\s+\p{Lu}"), regex.compile(r"\s+[\p{Lu}\d(+]")
 
 
 def emails(text: str) -> list[regex.Match]:
@@ -101,25 +132,23 @@ def _street(m: regex.Match) -> str:
     return next(v for k in ("t1", "t2", "t3", "t4", "t5", "t6") if (v := m[k])).lower().strip(".")
 
 
-def typed_mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Numbers and street forms: start, end, group, instance (the shape of a number, or the word of the street)."""
+def _mail_form(piece: str) -> str:
+    return "m:" + regex.sub(r"[\w+\-]+(?:\.(?=\w+(?:@| ?[(\[]at))[\w+\-]+)*", "x", regex.sub(r"[(\[](at|dot)[)\]]", lambda m: {"at": "(@)", "dot": "(.)"}[m[1].lower()], piece, flags=regex.I)).replace(".x.x", ".x")
+
+
+def typed_mentions(text: str) -> Iterator[tuple[int, int, str]]:
+    """E-mail addresses, numbers and forms of street addresses: start, end, instance (the form of an e-mail address, the
+    shape of a number, or the word of a street). Numbers in e-mail addresses are none of their own."""
     taken: list[tuple[int, int]] = []
     for m in emails(text):
         taken.append(m.span())
-        yield m.start(), m.end(), "email", "email"
-    free = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken)
+        yield m.start(), m.end(), _mail_form(m.group(0))
     for m in ADDRESS.finditer(text):
-        if free(m):
-            if _street(m) in STREET_WORDS:
-                taken.append(m.span())
-            yield m.start(), m.end(), "typed", "w:" + _street(m)
+        if all(m.end() <= a or m.start() >= b for a, b in taken):
+            yield m.start(), m.end(), "w:" + _street(m)
     for m in NUMBER.finditer(text):
-        s = m.group(0)
-        if free(m) and sum(c.isdigit() for c in s) >= 6 and sum(c.isalnum() for c in s) >= 8:
-            yield m.start(), m.end(), "typed", regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "0", s))
-
-
-STREET_WORDS = frozenset(STREETS.split())
+        if all(m.end() <= a or m.start() >= b for a, b in taken):
+            yield m.start(), m.end(), regex.sub(r"[A-Z]", "A", regex.sub(r"\d", "0", m.group(0)))
 
 
 def name_mentions(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
@@ -134,22 +163,21 @@ def name_mentions(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
         while words and (words[0].lower() in TITLES or words[0].lower() in OPENERS) and len(words) > 1:
             nxt = text.index(words[1], start + len(words[0]))
             words, start = words[1:], nxt
-        if DIGIT_NEXT.match(text, m.end()) or len(words) > 6:
-            continue
-        yield start, m.end(), words, start in intro or m.start() in intro
+        if not DIGIT_NEXT.match(text, m.end()):
+            yield start, m.end(), words, start in intro or m.start() in intro
 
 
 def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for tab, key, field, text in batch.itertuples(index=False):
-            for start, end, kind, inst in typed_mentions(text):
-                rows.append((tab, key, field, start, end, kind, inst, *_context(text, start, end), _cue(text, start, end) if kind == "typed" else ""))
+            around = Words(text)
+            for start, end, inst in typed_mentions(text):
+                rows.append((tab, key, field, start, end, "typed", inst, *around.around(start, end), around.cue(start, end)))
             for start, end, words, cue in name_mentions(text):
                 real = [w for w in words if w.lower() not in PARTICLES and len(w) > 1]
                 if len(words) >= 2 and real:
-                    left, right = _context(text, start, end)
-                    rows.append((tab, key, field, start, end, "name", " ".join(dict.fromkeys(w.lower() for w in real)), left, right, "name" if cue else ""))
+                    rows.append((tab, key, field, start, end, "name", " ".join(dict.fromkeys(w.lower() for w in real)), *around.around(start, end), "name" if cue else ""))
         yield pd.DataFrame(rows, columns=["tab_name", "row_key", "field", "start", "end", "kind", "inst", "l", "r", "cue"])
 
 
@@ -159,27 +187,44 @@ def mentions(texts: DataFrame) -> DataFrame:
 
 
 def _distribution(edges: DataFrame, by: str) -> DataFrame:
-    """The share of each class among the edges of an instance or pattern, smoothed by half a mention."""
-    total = sum(F.sum(F.col(c) * F.col("n")) for c in CLASSES)
-    return edges.groupBy(by).agg(*[((F.sum(F.col(c) * F.col("n")) + 0.5 / len(CLASSES)) / (total + 0.5)).alias(f"{by}_{c}") for c in CLASSES])
+    """The share of each class among the mentions of an instance, or among the instances of a pattern (where one that
+    is met ten times as often counts little more), smoothed by half a mention."""
+    weight = F.col("n") if by == "inst" else F.log1p("n")
+    total = sum(F.sum(F.col(c) * weight) for c in CLASSES)
+    return edges.groupBy(by).agg(*[((F.sum(F.col(c) * weight) + 0.5 / len(CLASSES)) / (total + 0.5)).alias(f"{by}_{c}") for c in CLASSES])
 
 
 def typed_scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``inst, l, r, kind``: the class of every combination of shape and patterns. The graph is kept as distinct edges
-    with counts, so its size follows the variety of the text, not its amount; it is written after every round."""
+    """``inst, l, r, cue, found``: the class of every combination of instance and patterns. The graph is kept as distinct
+    edges with counts, so its size follows the variety of the text, not its amount; it is written after every round.
+    Edges with a cue, of a seed word of streets or of the seed form of e-mail addresses keep their class; all others
+    get what their instance and patterns are in all places together, among the classes possible for the instance. In the
+    end a cue tells the class only of an instance that is of this class in some share of all its mentions."""
     edges = found.where("kind = 'typed'").groupBy("inst", "l", "r", "cue").agg(F.count("*").alias("n"))
-    street = F.array_contains(F.lit(sorted(STREET_WORDS)), F.expr("substring(inst, 3)")) & F.col("inst").startswith("w:")
-    edges = edges.withColumn("seed", F.when(F.col("inst").startswith("w:"), F.when(street, F.lit("address")).when(F.col("cue") == "address", F.lit("address")).otherwise(F.lit("other"))).when(F.col("cue") != "", F.col("cue")))
-    edges = cut(edges.select("*", *[F.when(F.col("seed").isNull(), F.lit(0.4 if c == "other" else 0.2)).when(F.col("seed") == c, F.lit(1.0)).otherwise(F.lit(0.0)).alias(c) for c in CLASSES]))
+    form = F.when(F.substring("inst", 2, 1) == ":", F.substring("inst", 1, 2)).otherwise(F.lit(""))
+    possible = {c: form.isin(*[k for k, v in POSSIBLE.items() if c in v]) for c in CLASSES}
+    street = (form == "w:") & F.substring(F.col("inst"), F.lit(3), F.length("inst")).isin(*STREETS.split())
+    cued = F.coalesce(*[F.when((F.col("cue") == c) & possible[c] & ((form == "") | F.lit(c != "other")), F.lit(c)) for c in CLASSES])
+    edges = edges.withColumn("seed", F.coalesce(F.when(street, F.lit("address")), F.when(F.col("inst") == MAIL_FORM, F.lit("email")), cued))
+    group = F.when(form != "", form).when(F.length(F.regexp_replace("inst", "[^0A]", "")) <= SHORT_NUMBER, F.lit("s:")).otherwise(F.lit("n:"))
+    prior = {"other": F.when(group == "s:", 0.9).when(group == "n:", 0.5).otherwise(0.6)}
+    evenly = {c: prior.get(c, F.when(group == "s:", 0.05).when(group == "n:", 0.25).otherwise(0.4)) for c in CLASSES}
+    start = {c: F.when(F.col("seed").isNotNull(), (F.col("seed") == c).cast("double")).when(possible[c], evenly[c]).otherwise(F.lit(0.0)) for c in CLASSES}
+    # What stands around "[1]" says nothing of what stands around a long number or a street: each form has its patterns.
+    patterns = [F.concat(group, F.col(x)).alias(f"{x}_pattern") for x in "lr"]
+    edges = cut(edges.select("*", *patterns, F.xxhash64("inst", "l", "r", "cue").alias("edge"), *[v.alias(c) for c, v in start.items()]))
     for _ in range(rounds):
         scored = edges
-        for by in ("inst", "l", "r"):
-            scored = salted_join(scored, cut(_distribution(edges, by)), [by], "n")
-        raw = {c: F.col(f"inst_{c}") * F.sqrt(F.col(f"l_{c}") * F.col(f"r_{c}")) for c in CLASSES}
+        for by in ("inst", "l_pattern", "r_pattern"):
+            scored = salted_join(scored, cut(_distribution(edges, by)), [by], "edge")
+        raw = {c: F.when(possible[c], F.col(f"inst_{c}") * (PATTERN_FLOOR + F.sqrt(F.col(f"l_pattern_{c}") * F.col(f"r_pattern_{c}")))).otherwise(F.lit(0.0)) for c in CLASSES}
         whole = sum(raw.values())
-        edges = cut(scored.select("inst", "l", "r", "cue", "n", "seed", *[F.when(F.col("seed").isNull(), raw[c] / whole).otherwise(F.col(c)).alias(c) for c in CLASSES]))
+        edges = cut(scored.select("inst", "l", "r", "cue", "n", "seed", "edge", "l_pattern", "r_pattern", *[F.when(F.col("seed").isNull(), raw[c] / whole).otherwise(F.col(c)).alias(c) for c in CLASSES]))
+    edges = salted_join(edges, cut(_distribution(edges, "inst")), ["inst"], "edge")
+    unlike = F.col("seed").isNotNull() & (F.col("cue") != "") & (sum(F.when(F.col("seed") == c, F.col(f"inst_{c}")).otherwise(0.0) for c in CLASSES) < CUE_SHARE)
+    edges = edges.withColumns({c: F.when(unlike, F.lit(float(c == "other"))).otherwise(F.col(c)) for c in CLASSES})
     best = F.greatest(*[F.col(c) for c in CLASSES])
-    kind = F.coalesce(*[F.when(F.col(c) == best, F.lit(c)) for c in CLASSES])
+    kind = F.coalesce(*[F.when(F.col(c) == best, F.lit(c)) for c in reversed(CLASSES)])
     return edges.select("inst", "l", "r", "cue", kind.alias("found"))
 
 
@@ -210,16 +255,16 @@ def _find_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for tab, key, field, text, words in batch.itertuples(index=False):
-            for start in names_in(text, {w.lstrip("~") for w in words}, {w for w in words if w[0] != "~"}):
-                rows.append((tab, key, field, start))
-        yield pd.DataFrame(rows, columns=["tab_name", "row_key", "field", "start"])
+            for start, end in names_in(text, {w.lstrip("~") for w in words}, {w for w in words if w[0] != "~"}):
+                rows.append((tab, key, field, start, end))
+        yield pd.DataFrame(rows, columns=["tab_name", "row_key", "field", "start", "end"])
 
 
 STEP = regex.compile(r"(?:\.? |, |,)")
 
 
-def names_in(text: str, known: set[str], strong: set[str]) -> list[int]:
-    """Where names start: runs of at least two words, one of them possibly an initial, that are known name words, in
+def names_in(text: str, known: set[str], strong: set[str]) -> list[tuple[int, int]]:
+    """Where names start and end: runs of at least two words, one of them possibly an initial, that are known name words, in
     any case, joined by particles, or what a cue introduces. One word at least must be strong, that is, not common as
     an ordinary word; ordinary words only count when capitalised."""
     mails = [m.span() for m in emails(text)]
@@ -251,7 +296,7 @@ def names_in(text: str, known: set[str], strong: set[str]) -> list[int]:
                 break
             k += 1
         if solid and (full >= 2 or (initial and full >= 1)):
-            starts.append(s)
+            starts.append((s, tokens[j][1]))
         i = j + 1
     for m in INTRO.finditer(text):
         n = regex.compile(rf"{NAME}(?:\.? (?:(?:van|von|der|den|de|di|da|del|la|le|du) )*{NAME})+").match(text, m.end())
@@ -260,64 +305,66 @@ def names_in(text: str, known: set[str], strong: set[str]) -> list[int]:
             at = m.end()
             if first and first.group(0).lower() in TITLES:
                 at += len(first.group(0)) + len(regex.match(r"[.\s]*", n.group(0)[first.end() :]).group(0))
-            if not any(a == at for a in starts) and not any(abs(a - at) < len(n.group(0)) for a in starts):
-                starts.append(at)
+            if not any(abs(a - at) < len(n.group(0)) for a, _ in starts):
+                starts.append((at, n.end()))
     return starts
 
 
-def personal_information(texts: DataFrame) -> DataFrame:
-    """``tab_name, row_key, field, kind, start_pos`` of every piece of personal information in ``texts`` (:func:`fields`)."""
+def pieces(texts: DataFrame) -> DataFrame:
+    """``tab_name, row_key, field, kind, start, end`` of every piece of personal information in ``texts``
+    (:func:`fields`). What stands inside a street address (its numbers, and capitalised words) is no piece of its own,
+    and a word of names is no word of a street."""
     texts = cut(texts)
     found = cut(mentions(texts))
-    typed = salted_join(found.where("kind = 'typed'"), cut(typed_scores(found).withColumnRenamed("found", "class")), ["inst", "l", "r", "cue"], "row_key", row_bytes=160).where("class <> 'other'")
-    typed = typed.select("tab_name", "row_key", "field", F.col("class").alias("kind"), "start")
-    mails = found.where("kind = 'email'").select("tab_name", "row_key", "field", "kind", "start")
+    typed = salted_join(found.where("kind = 'typed'").drop("kind"), cut(typed_scores(found).withColumnRenamed("found", "kind")), ["inst", "l", "r", "cue"], "row_key", row_bytes=160).where("kind <> 'other'")
     words = cut(name_words(found))
-    tokens = texts.select("tab_name", "row_key", "field", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", MAIL, " "), F.lit(r"\p{L}[\p{L}\p{M}'’\-]*"), F.lit(0)))).alias("token")).withColumn("word", F.lower("token"))
+    streets = typed.where("kind = 'address'").withColumn("word", F.expr("substring(inst, 3)"))
+    streets = salted_join(streets, words.withColumn("name", F.lit(True)), ["word"], "row_key", "left").where("name is null").select(*KEY, "kind", "start", "end")
+    typed = typed.where("kind <> 'address'").select(*KEY, "kind", "start", "end").unionByName(streets)
+    tokens = texts.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", MAIL, " "), F.lit(r"\p{L}[\p{L}\p{M}'’\-]*"), F.lit(0)))).alias("token")).withColumn("word", F.lower("token"))
     used = cut(salted_join(tokens, words, ["word"], "row_key"))
     common = cut(used.groupBy("word").agg(F.avg((F.col("token") == F.col("word")).cast("int")).alias("plain")))
     used = salted_join(used, common, ["word"], "row_key").withColumn("word", F.when(F.col("plain") > 0.3, F.concat(F.lit("~"), "word")).otherwise(F.col("word")))
-    cued = texts.where(F.col("text").rlike("(?iU)" + NAME_CUES)).select("tab_name", "row_key", "field", F.lit(None).cast("string").alias("word"))
-    keys = used.select("tab_name", "row_key", "field", "word").unionByName(cued).groupBy("tab_name", "row_key", "field").agg(F.collect_set("word").alias("words"))
-    names = texts.join(keys, ["tab_name", "row_key", "field"]).select("tab_name", "row_key", "field", "text", "words").mapInPandas(_find_names, f"{KEYS}, start long")
-    names = names.withColumn("kind", F.lit("name"))
-    return typed.unionByName(mails).unionByName(names.select("tab_name", "row_key", "field", "kind", "start")).withColumnRenamed("start", "start_pos").distinct()
+    cued = texts.where(F.col("text").rlike("(?iU)" + NAME_CUES)).select(*KEY, F.lit(None).cast("string").alias("word"))
+    keys = used.select(*KEY, "word").unionByName(cued).groupBy(*KEY).agg(F.collect_set("word").alias("words"))
+    names = texts.join(keys, list(KEY)).select(*KEY, "text", "words").mapInPandas(_find_names, f"{KEYS}, start long, end long")
+    every = typed.unionByName(names.select(*KEY, F.lit("name").alias("kind"), "start", "end"))
+    # A text's pieces are bounded by its length.
+    per = every.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "kind")).alias("all"))
+    streets = F.filter("all", lambda x: x["kind"] == "address")
+    free = F.filter("all", lambda x: (x["kind"] == "address") | ~F.exists("streets", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return per.withColumn("streets", streets).select(*KEY, F.explode(free).alias("x")).select(*KEY, "x.kind", "x.start", "x.end")
+
+
+def personal_information(texts: DataFrame) -> DataFrame:
+    """``tab_name, row_key, field, kind, start_pos`` of every piece of personal information in ``texts``."""
+    return pieces(texts).select(*KEY, "kind", F.col("start").alias("start_pos")).distinct()
 
 
 def redacted(texts: DataFrame) -> DataFrame:
     """``tab_name, row_key, field, text``: the texts in which something was found, each piece replaced by a placeholder
     of its type ([EMAIL], [PHONE], ...), everything else as it was. A text's pieces are bounded by its length."""
-    pieces = personal_information(texts).groupBy("tab_name", "row_key", "field").agg(F.collect_set(F.struct("start_pos", "kind")).alias("pieces"))
+    found = pieces(texts).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "kind")).alias("pieces"))
 
     @F.pandas_udf(T.StringType())
     def mask(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, {int(p["start_pos"]): p["kind"] for p in f}) for t, f in zip(text, found, strict=True)], dtype=object)
+        return pd.Series([masked(t, [(int(p["start"]), int(p["end"]), p["kind"]) for p in f]) for t, f in zip(text, found, strict=True)], dtype=object)
 
-    return texts.join(pieces, ["tab_name", "row_key", "field"]).select("tab_name", "row_key", "field", mask("text", "pieces").alias("text"))
+    return texts.join(found, list(KEY)).select(*KEY, mask("text", "pieces").alias("text"))
 
 
-NAME_END = regex.compile(rf"(?i:\p{{L}}[\p{{L}}'’\-]*)(?:(?:,? |(?<=\b\p{{Lu}})\. )(?:(?:van|von|der|den|de|di|da|del|la|le|du) )*(?:{NAME}|\p{{Lu}}(?=\.)))*")
 EXTENSION = regex.compile(r" ?(?:ext\.?|x|#) ?\d+")
 REST = regex.compile(r",? (?:flat|apt\.?|unit|кв\.|д\.|#)[ ]?\d+\w?|, \d+º? ?\w?\b", regex.I)
 
 
-def piece_end(text: str, start: int, kind: str) -> int:
-    """Where the piece of personal information that starts at ``start`` ends."""
-    pattern = {"email": EMAIL, "address": ADDRESS, "name": NAME_END}.get(kind, NUMBER)
-    if kind == "name" and text[start : start + 1].islower():
-        pattern = regex.compile(r"\p{Ll}[\p{L}'’\-]*,? (?:(?:van|von|der|den|de|di|da|del|la|le|du) )*\p{Ll}[\p{L}'’\-]*")
-    m = pattern.match(text, start) or NUMBER.match(text, start) or TOKEN.match(text, start)
-    end = m.end() if m else start + 1
-    tail = {"phone": EXTENSION, "address": REST}.get(kind)
-    while tail and (more := tail.match(text, end)):
-        end = more.end()
-    return end
-
-
-def masked(text: str, pieces: dict[int, str]) -> str:
+def masked(text: str, found: list[tuple[int, int, str]]) -> str:
+    """The text with pieces replaced; what belongs to a piece behind its end (an extension, a flat) goes with it."""
     out, last = [], 0
-    for start in sorted(pieces):
+    for start, end, kind in sorted(found):
         if start >= last:
-            out += [text[last:start], f"[{pieces[start].upper()}]"]
-            last = piece_end(text, start, pieces[start])
+            tail = {"phone": EXTENSION, "address": REST}.get(kind)
+            while tail and (more := tail.match(text, end)):
+                end = more.end()
+            out += [text[last:start], f"[{kind.upper()}]"]
+            last = end
     return "".join([*out, text[last:]])

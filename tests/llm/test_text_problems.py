@@ -56,8 +56,21 @@ def test_bootstrapping_finds_names_and_tells_orders_from_identities(spark, peopl
 
 
 def test_redaction_keeps_the_rest():
-    assert pii.masked("Call 202-555-0101 ext. 5 now", {5: "phone"}) == "Call [PHONE] now"
-    assert pii.masked("My name is Anna Kovalt. Ok", {11: "name"}) == "My name is [NAME]. Ok"
+    assert pii.masked("Call 202-555-0101 ext. 5 now", [(5, 17, "phone")]) == "Call [PHONE] now"
+    assert pii.masked("My name is Anna Kovalt. Ok", [(11, 22, "name")]) == "My name is [NAME]. Ok"
+
+
+def test_streets_short_numbers_and_forms_of_mail_are_learnt(spark):
+    """Words of streets that are no seeds are found by their patterns, and so are forms of e-mail addresses; short numbers
+    are phones where cues say so and nothing where they are counts."""
+    rows = [f"I live at {10 + n} Elm {w}. Thanks" for n in range(6) for w in ("Street", "Parade", "Mews")]
+    rows += [f"Goods go to {30 + n} Oak Parade. Thanks" for n in range(4)] + [f"tel. 555 01{n:02d} please" for n in range(9)] + [f"{"Turn the ring" if n < 3 else "Wait for"} {n % 7} times, then {n % 7} minutes. Version {n}.2 the Brim R{n} waits" for n in range(40)]
+    rows += [f"write to joe{n}@post.example today" for n in range(6)] + [f"write to ann{n} [at] post.example today" for n in range(3)]
+    texts = spark.createDataFrame([("goldset", str(k), "question", t) for k, t in enumerate(rows)], "tab_name string, row_key string, field string, text string")
+    got = {(int(r["row_key"]), r["kind"], r["start_pos"]) for r in pii.personal_information(texts).collect()}
+    want = {(k, "address", t.index(" Elm") - 2 if "Elm" in t else t.index(" Oak") - 2) for k, t in enumerate(rows) if "Elm" in t or "Oak" in t}
+    want |= {(k, "phone", 5) for k, t in enumerate(rows) if t.startswith("tel.")} | {(k, "email", 9) for k, t in enumerate(rows) if t.startswith("write")}
+    assert {x for x in got if x[1] != "name"} == want
 
 
 def test_pii_on_empty_tables(spark):

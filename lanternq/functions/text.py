@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from lanternq.functions.constants import BOILERPLATE, INTERROGATIVES, STOPWORDS, TOKEN
 
-#: Characters whose compatibility form (NFKC) matters to tokens, one to one and one to many.
-COMPAT_ONE = (" ²³¹ºªµ", " 231oaμ")
-COMPAT_MANY = (("…", "..."), ("™", "tm"), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4"), ("№", "no"), ("ﬁ", "fi"), ("ﬂ", "fl"))
-
-
 #: Fixed value: white space, as a regular expression's character class.
 SPACE = r" \t-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -38,14 +33,13 @@ def normalize_whitespace(text: Column | str) -> Column:
 
 
 def normalize_text(text: Column | str) -> Column:
-    """Compatibility forms, case folding, single spaces. Pure ASCII takes the short way."""
+    """Compatibility forms (NFKC), case folding, single spaces. Pure ASCII takes the short way; other texts go
+    through the Unicode library that Spark ships, so all of it stays in the JVM."""
     c = _col(text)
-    full = F.translate(c, *COMPAT_ONE)
-    for a, b in COMPAT_MANY:
-        full = F.replace(full, F.lit(a), F.lit(b))
-    full = F.replace(F.replace(full, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-    low = F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(full))
-    return F.trim(F.regexp_replace(low, f"[{SPACE}]+", " "))
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    full = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    plain = F.when(c.isNull(), c).when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(full)
+    return F.trim(F.regexp_replace(plain, f"[{SPACE}]+", " "))
 
 
 def tokens(text: Column | str, drop_stopwords: bool = False) -> Column:
@@ -101,6 +95,13 @@ def overlap(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
 
 
+def word_ngrams(words: Column | str, n: int) -> Column:
+    """The runs of ``n`` successive words of a list, each joined by a space; none if it is shorter."""
+    w = _col(words)
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+
 def char_ngrams(text: Column | str, n: int) -> Column:
     """P10: character n-grams of the normalised text between two spaces; the whole, if it is shorter."""
     padded = F.concat(F.lit(" "), normalize_text(text), F.lit(" "))
@@ -152,6 +153,7 @@ def clamp(x: Column) -> Column:
 
 
 def is_question(heading: Column | str) -> Column:
-    """Whether a heading asks."""
-    h = F.trim(_col(heading))
-    return F.coalesce(h.rlike(r"\?\s*$") | h.rlike(r"(?i)^(q:|q\.|question[ .:])") | F.lower(h).rlike(rf"^({'|'.join(INTERROGATIVES)})\s"), F.lit(False))
+    """Whether a heading asks: it ends with a question mark, has a question's prefix (with a sign and a text behind
+    it), or starts with an interrogative."""
+    h = strip(heading)
+    return F.coalesce(h.endswith("?") | h.rlike(r"(?is)^(?:q|question)\s*[:.)-]\s*.+") | h.rlike(rf"(?i)^(?:{'|'.join(INTERROGATIVES)})\b"), F.lit(False))

@@ -23,6 +23,24 @@ def upsert(chunks: DataFrame, new: DataFrame, by: str = "doc_id", where: DataFra
     return chunks.join(gone, by, "left_anti").unionByName(new)
 
 
+def upsert_document(chunks: DataFrame, doc_id: str, new: DataFrame) -> tuple[DataFrame, int, int]:
+    """D2 for one document: the chunks after its old ones were replaced, how many went and how many came. A new chunk of
+    another document raises ValueError."""
+    if new.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))).limit(1).count():
+        raise ValueError(f"chunks of other documents than {doc_id!r}")
+    return chunks.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))).unionByName(new), chunks.where(F.col("doc_id") == doc_id).count(), new.count()
+
+
+def checked_vectors(vectors: DataFrame, dim: int, chunks: DataFrame | None = None) -> DataFrame:
+    """Vectors as they are; one of another dimension, or (with ``chunks``) a chunk without a vector or the other way
+    round, raises ValueError."""
+    if vectors.where(F.col("vector").isNull() | (F.size("vector") != dim)).limit(1).count():
+        raise ValueError(f"vectors are not of dimension {dim}")
+    if chunks is not None and (chunks.join(vectors, "chunk_id", "left_anti").limit(1).count() or vectors.join(chunks, "chunk_id", "left_anti").limit(1).count()):
+        raise ValueError("chunks and vectors don't match")
+    return vectors
+
+
 def delete(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Without the chunks of some documents; unknown ids change nothing."""
     return chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -61,6 +79,17 @@ def get(chunks: DataFrame, *chunk_ids: str) -> DataFrame:
     return chunks.where(F.col("chunk_id").isin(*chunk_ids))
 
 
+def contains(chunks: DataFrame, chunk_id: str) -> bool:
+    """Whether there is a chunk of this id."""
+    return bool(get(chunks, chunk_id).limit(1).count())
+
+
+def vector(vectors: DataFrame, chunk_id: str) -> list[float] | None:
+    """A chunk's vector, or None."""
+    row = get(vectors, chunk_id).select("vector").first()
+    return row and list(row["vector"])
+
+
 def doc_ids(chunks: DataFrame) -> DataFrame:
     """The documents there are."""
     return chunks.select("doc_id").distinct()

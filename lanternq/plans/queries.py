@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lanternq.functions import text as tx
 from lanternq.functions import udfs
 from lanternq.operators import answering, chunking, evaluation, guardrails, maintenance, rerank, retrieval, sessions
+from lanternq.plans.engine import Config, Engine
 from lanternq.plans.scale import cut
 from lanternq.sources import files
 from lanternq.sources.tables import table
@@ -173,7 +174,7 @@ def fixed_chunks(s, d):
 @query
 def section_tree(s, d):
     out = chunking.sections(docs(s, d))
-    return out.select("doc_id", "section_no", F.col("level").cast("long").alias("level"), "heading", "path", F.col("n_lines").cast("long").alias("n_lines"), F.col("start_char").cast("long").alias("start_char"))
+    return out.select("doc_id", "section_no", tx.is_question("heading").alias("is_question"), F.col("level").cast("long").alias("level"), "heading", "path", F.col("n_lines").cast("long").alias("n_lines"), F.col("start_char").cast("long").alias("start_char"))
 
 
 @query
@@ -243,13 +244,35 @@ def rank_fusion(s, d):
 
 
 @query
-def hybrid_retrieval(s, d):
+def logged_fusion(s, d):
+    """A keyword list and the citation log fused with both scores kept."""
     q, index = search(s, d)
     dense = logged(s, d).join(q.select("query_id"), "query_id", "left_semi")
     out = retrieval.hybrid(dense, retrieval.bm25_search(q, index, 20))
     return out.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.round("dense_score", 6).alias("dense_score"), F.round("sparse_score", 6).alias("sparse_score"), "rank")
 
 
+def _engine(s, d, **config) -> Engine:
+    """An engine over all documents: structure chunks, their vectors, and the keyword index."""
+    engine = Engine(s, Config(dim=64, **config))
+    engine.add_documents(_as_documents(s, d))
+    return engine
+
+
+@query
+def hybrid_retrieval(s, d):
+    """From documents to chunks, vectors and index; vector and keyword search of every question, fused and reranked."""
+    out = _engine(s, d).retrieve(cut(asked(s, d)))
+    return out.select("query_id", "chunk_id", "doc_id", F.round("score", 6).alias("score"), F.round("pre_rerank_score", 6).alias("pre_rerank_score"), "match_quality", "rank")
+
+
+@query
+def ask_many(s, d):
+    """The whole way from a question to a checked answer with citations, or a reason why there is none."""
+    out = _engine(s, d).ask_many(cut(asked(s, d)))
+    return out.select("query_id", "answer", "refused", "refusal_reason", F.round("confidence", 4).alias("confidence"), F.round("groundedness", 4).alias("groundedness"), F.size("citations").alias("n_citations"))
+
+
 def _features(s, d):
     q, index = search(s, d)
     found = cut(retrieval.bm25_search(q, index, 20))
@@ -259,7 +282,7 @@ def _features(s, d):
 @query
 def rerank_features(s, d):
     out = _features(s, d)[2]
-    names = ["f_retrieval", "f_lexical", "f_rare_term", "f_breadcrumb", "f_position", "f_question_shape", "f_length_penalty"]
+    names = ["f_retrieval", "f_lexical", "f_rare_term", "f_breadcrumb", "f_exact_phrase", "f_position", "f_question_shape", "f_length_penalty"]
     return out.select("query_id", "chunk_id", *[F.round(n, 6).alias(n) for n in names])
 
 
@@ -476,10 +499,12 @@ def latency_percentiles(s, d):
 
 
 def _split(s, d):
-    """The chunks indexed first, and the pages that came late: edits of every third of them and new ones."""
-    c = doc_chunks(s, d).join(docs(s, d).select("doc_id", (F.col("loaded_at") > F.col("fetched_at") + F.expr("interval 1 day")).alias("late")), "doc_id").select("doc_id", "chunk_id", "text", "source", "late")
-    old = c.where("not late or doc_id % 3 = 0").drop("late")
-    return old, c.where("late").drop("late").withColumn("text", F.concat("text", F.lit(" updated")))
+    """The chunks indexed first, and the pages that came late: those late by up to ten days are edits of pages indexed
+    before, later ones are new."""
+    delay = F.unix_micros("loaded_at") - F.unix_micros("fetched_at")
+    c = doc_chunks(s, d).join(docs(s, d).select("doc_id", (delay > 86_400_000_000).alias("late"), (delay > 864_000_000_000).alias("fresh")), "doc_id").select("doc_id", "chunk_id", "text", "source", "late", "fresh")
+    old = c.where("not fresh").drop("late", "fresh")
+    return old, c.where("late").drop("late", "fresh").withColumn("text", F.concat("text", F.lit(" updated")))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,20 +15,45 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
-    machine) a temporary one is made and remembered in the session."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only a session on one machine (tests)
+    may go without: it gets a temporary one. On a cluster a folder of the driver's machine would be of no use to the
+    executors, so an unset one is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lanternq.local.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lanternq-")
         spark.conf.set("lanternq.local.dir", path)
     return path.rstrip("/")
 
 
+def _app_dir(spark: SparkSession) -> str:
+    """Where this application's tables lie; what is there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/lanternq/{spark.sparkContext.applicationId}"
+    if path not in _TO_DELETE:
+        _TO_DELETE.add(path)
+        atexit.register(delete_tables, spark, path)
+    return path
+
+
+_TO_DELETE: set[str] = set()
+
+
+def delete_tables(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes the tables :func:`cut` wrote in this application. Frames that still read them can't be used after."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path or _app_dir(spark))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001, S110 - the session may be gone already
+        if (path or "").startswith("file://"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and returns a scan of it. What follows no longer depends on
     the executors that computed it, and nothing upstream is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lanternq/{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

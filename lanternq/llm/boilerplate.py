@@ -40,18 +40,20 @@ def blocks(pages: DataFrame) -> DataFrame:
     lines = lines.withColumn("key", key).withColumn("mask", F.regexp_replace("key", r"\p{N}+", "0"))
     (a1, a2), (b1, b2) = digest(F.lit("exact"), F.col("key")), digest(F.lit("mask"), F.col("mask"))
     title = F.lower(F.coalesce("title", F.lit("")))
+    # Blank lines recur nowhere: keys of their own keep them apart in the joins by fingerprint.
+    own = lambda h: F.when(F.col("key") == "", F.xxhash64("doc_id", "line_no")).otherwise(h)
     return lines.select(
         "doc_id", "source", "line_no",
         (F.col("key") == "").alias("blank"),
         F.when(F.col("line") == "", 0).otherwise(F.size(F.split("line", " "))).cast("double").alias("words"),
-        (F.size(F.split("raw", r"[|›»→]| [/>·] ")) - 1 + F.when(F.length("raw") < 160, F.size(F.split(F.trim("raw"), r"\S {2,}(?=\S)")) - 1).otherwise(0)).cast("double").alias("seps"),
+        (F.size(F.split("raw", r"[|›»→]| [/>·] ")) - 1 + F.size(F.split(F.trim("raw"), r"\S {2,}(?=\S)")) - 1).cast("double").alias("seps"),
         F.col("line").rlike(r"[?？]$").cast("double").alias("question"),
         F.col("line").rlike(r"[.!…:]$").cast("double").alias("stop"),
         F.col("line").rlike(r"^(?:[•*+‣▪◦-]|\d{1,2}[.)]) ").cast("double").alias("bullet"),
         ((title != "") & (F.col("low") == title)).cast("double").alias("is_title"),
         ((title != "") & (F.col("low") != title) & F.contains("low", title)).cast("double").alias("has_title"),
-        F.struct(a1.alias("h1"), a2.alias("h2")).alias("exact"),
-        F.struct(b1.alias("h1"), b2.alias("h2")).alias("mask"),
+        F.struct(own(a1).alias("h1"), a2.alias("h2")).alias("exact"),
+        F.struct(own(b1).alias("h1"), b2.alias("h2")).alias("mask"),
     )
 
 
@@ -255,7 +257,10 @@ def trained(spark: SparkSession) -> Tree:
 
 def html_pages(docs: DataFrame) -> DataFrame:
     """The web pages among the documents, each once."""
-    return docs.where("kind = 'html'").select("doc_id", "source", "title", "text").dropDuplicates(["doc_id"])
+    pages = docs.where("kind = 'html'").select("doc_id", "source", "title", "text")
+    ids = pages.select("doc_id")
+    # Ids are counted first, as texts are shuffled only where there is something to drop.
+    return pages if ids.count() == ids.distinct().count() else pages.dropDuplicates(["doc_id"])
 
 
 def boilerplate_lines(pages: DataFrame, tree: Tree | None = None) -> DataFrame:

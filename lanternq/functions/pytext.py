@@ -9,6 +9,7 @@ import re
 import struct
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import accumulate, groupby
 
@@ -168,6 +169,11 @@ def html_to_text(page: str) -> tuple[str, str]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(), entities.unescape("".join(parser.title)).strip()
 
 
+@lru_cache(1 << 20)
+def _feature_hash(feature: str, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(struct.pack("<I", seed) + feature.encode(), digest_size=8).digest(), "big")
+
+
 def hashed_embedding(text: str, dim: int = 256, ngrams: tuple[int, int] = (3, 5), word_weight: float = 1.0, char_weight: float = 0.55, seed: int = 0) -> list[float]:
     """Words and character n-grams hashed with a sign into ``dim`` buckets, repeats damped, length 1."""
     normal = norm(text)
@@ -178,9 +184,9 @@ def hashed_embedding(text: str, dim: int = 256, ngrams: tuple[int, int] = (3, 5)
     for n in range(ngrams[0], ngrams[1] + 1):
         for i in range(max(1, len(padded) - n + 1)):
             weights[f"c{n}:{padded[i : i + n]}"] += char_weight
-    prefix, vector = struct.pack("<I", seed), [0.0] * dim
+    vector = [0.0] * dim
     for feature, w in weights.items():
-        h = int.from_bytes(hashlib.blake2b(prefix + feature.encode(), digest_size=8).digest(), "big")
+        h = _feature_hash(feature, seed)
         vector[h % dim] += (1.0 if h >> 63 else -1.0) * (1.0 + math.log(w) if w > 1.0 else w)
     length = math.sqrt(sum(v * v for v in vector))
     return [v / length for v in vector] if length else vector

@@ -13,7 +13,7 @@ from lanternq.functions import text as tx
 from lanternq.functions import udfs
 from lanternq.operators import answering, chunking, evaluation, guardrails, maintenance, rerank, retrieval, sessions
 from lanternq.plans.engine import Config, Engine
-from lanternq.plans.scale import cut
+from lanternq.plans.scale import cut, spread
 from lanternq.sources import files
 from lanternq.sources.tables import table
 from lanternq.streaming import jobs
@@ -38,7 +38,7 @@ def digest(words: Column) -> Column:
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"), "doc_id")
 
 
 def latest_answers(s: SparkSession, d: str) -> DataFrame:

@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that lies in fewer pieces than half the tasks that could read it (one small file), spread over them all
+    by its key; any other as it is. Tables of many files are never shuffled for it."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, key) if 2 * df.rdd.getNumPartitions() <= tasks else df
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """``df`` (a cheap scan, e.g. from :func:`cut`) with a broadcast hint if its counted size is below ``limit``."""
     small = df.count() * row_bytes <= limit

@@ -1,5 +1,8 @@
 """Text functions: hand-made cases, and the column expressions against plain Python."""
 
+import random
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +47,26 @@ def test_ngrams_and_headings(spark):
         assert one(spark, tx.is_question("h"), h=heading) is want or heading == "Why"
 
 
+@pytest.mark.parametrize(("heading", "want"), [("How-to guide", True), ("Q-tips box", True), ("Q: price", True), ("question) what", True), ("Question 5 of 9", False), ("Question what", False), ("Whatever works", False), ("Is it", True), ("Sizes?", True), (None, False)])
+def test_one_rule_for_questions(spark, heading, want):
+    assert one(spark, tx.is_question("h"), h=heading) is want and pytext.asks(heading or "") is want
+
+
+def test_normal_form_of_any_text_is_that_of_the_unicode_standard(spark):
+    rng = random.Random(1)
+    pool = [c for c in map(chr, range(32, 0x2FFF)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")] + list("ＡＢＣ①②ﬁﬂﬀ㎏½²ſßẞİı")
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("abc XYZ-.9 ") for _ in range(30)) for _ in range(1500)] + ["", "Only  ASCII "]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", tx.normalize_text("t").alias("n"), tx.tokens("t").alias("k")).collect()
+    assert all(r["n"] == (None if r["t"] is None else " ".join(unicodedata.normalize("NFKC", r["t"]).casefold().split())) for r in rows)
+    assert all(r["t"] is None or r["k"] == pytext.tokens(r["t"]) for r in rows)
+
+
+def test_common_runs(spark):
+    rows = [(["a", "b", "c", "d"], ["x", "b", "c", "d"]), (["a"], ["a"]), ([], ["a"]), (["a", "b"], ["b", "a"]), (None, ["a"])]
+    out = spark.createDataFrame(rows, "a array<string>, b array<string>").select(udfs.common_run(F.col("a"), F.col("b"), 2).alias("n")).collect()
+    assert [r["n"] for r in out] == [3, 0, 0, 0, 0]
+
+
 def test_sentences_join_wrapped_lines_and_keep_units():
     text = "It runs approx. 90 minutes. Then\nit stops (see fig. 2). \"Fine!\" he said.\n- item one\n## Head\nName   value\n\nLast"
     assert pytext.sentences(text) == ["It runs approx. 90 minutes.", "Then it stops (see fig. 2).", '"Fine!', "he said.", "- item one", "## Head", "Name   value", "Last"]

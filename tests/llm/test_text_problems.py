@@ -16,7 +16,7 @@ DOC = "doc_id long, text string, lang string, source string, title string, kind
 
 def test_numbers_emails_addresses_by_shape():
     text = "Mail jo.doe+x@box.example.org or call +1 (202) 555-0132. Unit 3, 12 Elm Street. Order 555-12-4444."
-    kinds = {(k, text[a:b]) for a, b, k, _ in pii.typed_mentions(text)}
+    kinds = {("email" if form.startswith("m:") else "typed", text[a:b]) for a, b, form in pii.typed_mentions(text)}
     assert ("email", "jo.doe+x@box.example.org") in kinds
     assert ("typed", "+1 (202) 555-0132") in kinds and ("typed", "Unit 3, 12 Elm Street") in kinds
 
@@ -24,7 +24,7 @@ def test_numbers_emails_addresses_by_shape():
 def test_bracket_belongs_to_the_number_only_when_it_is_part_of_it():
     spans = {"(202-555-0161) Why?": "202-555-0161", "((202) 555 0102 ext. 8)": "(202) 555 0102"}
     for text, want in spans.items():
-        assert want in {text[a:b] for a, b, k, _ in pii.typed_mentions(text)}
+        assert want in {text[a:b] for a, b, _ in pii.typed_mentions(text)}
 
 
 @pytest.fixture(scope="module")
@@ -235,9 +235,9 @@ def test_labels_mixtures_and_odd_rows(spark, model):
     got = {(r["doc_id"], r["lang"]) for r in language.mislabelled(docs, model).collect()}
     assert got == {(2, "de"), (3, "fr"), (4, "en"), (4, "ru")}
     parts = language.segments(docs, model).where("doc_id = 4").orderBy("seg_no").collect()
-    text, middle = rows[3][1], rows[3][1].index("\n\n")
-    assert [p["lang"] for p in parts] == ["en", "ru"] and parts[0]["start_char"] == 0 and parts[-1]["end_char"] == len(text)
-    assert abs(parts[0]["end_char"] - middle) <= 2 and abs(parts[1]["start_char"] - middle) <= 2
+    text, cyrillic = rows[3][1], lambda t: sum("а" <= c.lower() <= "я" for c in t) > len(t) / 2
+    assert parts[0]["start_char"] == 0 and parts[-1]["end_char"] == len(text) and all(a["end_char"] <= b["start_char"] and a["lang"] != b["lang"] for a, b in zip(parts, parts[1:], strict=False))
+    assert parts[0]["lang"] == "en" and parts[-1]["lang"] == "ru" and all((p["lang"] == "ru") == cyrillic(text[p["start_char"] : p["end_char"]]) for p in parts)
 
 
 def test_language_of_an_empty_table(spark):

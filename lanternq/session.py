@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str | None = None, app: str = "lanternq", **conf: str) -> SparkSession:
+    # Workers import the package from where it lies, whatever folder the session is started in.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *os.environ.get("PYTHONPATH", "").split(os.pathsep)])).strip(os.pathsep)
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     defaults = {

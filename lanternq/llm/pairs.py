@@ -24,6 +24,8 @@ END_SHARE = 0.05
 #: The share of sentences that end with a word never met in a complete one, and the weight (in sentences) with which a
 #: shorter context vouches for a longer one.
 UNKNOWN_END, WEIGHT = 0.01, 2.0
+#: The share of words at which a sentence ends at all: what is expected of a word that has been met.
+MET_END = 0.08
 #: Contexts of an ending, and the number of words up to which an answer is a short one.
 CONTEXTS, SHORT_WORDS = 7, 6
 #: Language profiles and the words of refusals are tables of fixed size: 2 ** BITS hashed features.
@@ -312,7 +314,8 @@ def end_share(found: Column) -> Column:
     start = F.struct(F.lit(UNKNOWN_END).alias("share"), F.lit(-1).cast("long").alias("n"))
 
     def longer(known: Column, x: Column) -> Column:
-        share = F.when(x["n"] == known["n"], known["share"]).otherwise((x["n_end"] + WEIGHT * known["share"]) / (x["n"] + WEIGHT))
+        expected = F.when((known["n"] < 0) & (x["n"] > 0), F.lit(MET_END)).otherwise(known["share"])
+        share = F.when(x["n"] == known["n"], known["share"]).otherwise((x["n_end"] + WEIGHT * expected) / (x["n"] + WEIGHT))
         return F.struct(share.alias("share"), x["n"].alias("n"))
 
     return F.aggregate(steps, start, longer)["share"]

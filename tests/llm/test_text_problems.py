@@ -122,6 +122,54 @@ def test_inline_elements_and_copies_are_no_template(spark):
     assert out[104].split() == "One page only told again".split()
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("{{Infobox\n| name = b\n| part = {c}\n}}\nText", ["wiki"]),
+        ('See <a title="x<b" href="/q">here', ["html"]),
+        ("\\title{{A} lamp} and \\emph{{B}}", ["latex"]),
+        ("[[[x]]] and {{{1|}}}", ["wiki"]),
+        ("int a[2][2] = {{1,2},\n{3,4}}; x = {\"a\":{\"b\":1}}", []),
+    ],
+)
+def test_markup_is_parsed(text, want):
+    assert markup.languages(text) == want
+
+
+def test_markup_rows_come_from_what_is_deleted_or_converted(spark):
+    """A template counted per site is deleted, the rest is converted, and the rows of p4_found are the languages of both; what
+    counts as template moves a language from one to the other, and no row appears or goes."""
+    nav = "<div class='{0}'>Shop <a href='/{0}'>now</a></div>"
+    rows = [(n, f"{nav.format(n)}\n= Head {n} =\ntext", None, "s", None, None) for n in range(10)] + [(20 + n, f"{nav.format(n)}\nPlain text {n}", None, "s", None, None) for n in range(10)]
+    rows += [(40, nav.format(40) + " elsewhere", None, "t", None, None), (41, nav.format(41) + " nowhere", None, None, None, None), (50, "No markup", None, "s", None, None), (51, None, None, "s", None, None)]
+    rows += [(60, f"<div>{nav.format(60)}<div>Own words of this page</div></div>", None, "s", None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    by = {r["doc_id"]: (r["deleted"], r["converted"]) for r in markup.marked_documents(docs).collect()}
+    want = {n: (["html"], ["wiki"]) for n in range(10)} | {20 + n: (["html"], []) for n in range(10)} | {40: ([], ["html"]), 41: ([], ["html"]), 60: (["html"], ["html"])}
+    assert by == want
+    got = sorted((r["doc_id"], r["markup"]) for r in markup.markup_rows(docs).collect())
+    assert got == sorted((i, m) for i, (a, b) in want.items() for m in {*a, *b})
+    none = {r["doc_id"]: (r["deleted"], r["converted"]) for r in markup.marked_documents(docs, min_docs=1000).collect()}
+    assert none == {i: ([], sorted({*a, *b})) for i, (a, b) in want.items()}
+
+
+def test_nested_and_unclosed_subtrees_are_template(spark):
+    navs = {
+        "latex": "\\begin{itemize}\\item Home\\begin{itemize}\\item Care\\end{itemize}\\item Shop\\end{itemize}",
+        "html": "<p>Shop now<p>",
+        "wiki": "{|\n| Home\n{|\n| Care\n|}\n| Shop\n|}",
+        "markdown": "- [Home](/)\n- [Shop](/shop)\n",
+    }
+    rows = [(100 * k + n, f"{nav}\n\nText number {n} stands alone", None, name, None, None) for k, (name, nav) in enumerate(navs.items()) for n in range(10)]
+    out = {r["doc_id"]: r["clean_text"] for r in markup.cleaned(spark.createDataFrame(rows, DOC)).collect()}
+    assert out == {100 * k + n: f"Text number {n} stands alone" for k in range(4) for n in range(10)}
+
+
+def test_nested_templates_and_quoted_brackets_leave_nothing_behind():
+    assert markup.to_plain("{{Infobox\n| a = {{b|{{c}}}}\n}}Text", ["wiki"]) == "Text"
+    assert markup.to_plain('<div title="a > b">Text</div>', ["html"]) == "Text"
+
+
 # --- problem 6
 
 

@@ -27,3 +27,12 @@ def test_every_sql_has_its_query():
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_logged_lists_are_ranked_for_their_questions_only(spark):
+    from lanternq.plans import queries
+
+    q = spark.createDataFrame([(100,), (200,)], "query_id long")
+    some = queries.logged(spark, FOLDER, q)
+    assert "left_semi" in some._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in queries.logged(spark, FOLDER).where("query_id in (100, 200)").collect())

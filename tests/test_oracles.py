@@ -36,3 +36,13 @@ def test_logged_lists_are_ranked_for_their_questions_only(spark):
     some = queries.logged(spark, FOLDER, q)
     assert "left_semi" in some._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
     assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in queries.logged(spark, FOLDER).where("query_id in (100, 200)").collect())
+
+
+WHOLE = ["rerank_features"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_every_question_is_asked(spark, name):
+    asked = {r["answer_id"] for r in spark.read.parquet(f"{FOLDER}/answers.parquet").where("question is not null").select("answer_id").collect()}
+    found = entry.queries()[name](spark, FOLDER).select("query_id").distinct().collect()
+    assert {r["query_id"] for r in found} <= asked and len(found) > 0.95 * len(asked)

@@ -38,7 +38,7 @@ def test_logged_lists_are_ranked_for_their_questions_only(spark):
     assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in queries.logged(spark, FOLDER).where("query_id in (100, 200)").collect())
 
 
-WHOLE = ["rerank_features", "reranked", "reranked_none", "extractive_answers", "guarded", "prompts", "hybrid_retrieval"]
+WHOLE = ["rerank_features", "reranked", "reranked_none", "extractive_answers", "guarded", "prompts", "hybrid_retrieval", "ask_many"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
